@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskframe.operators.ordered import materialize
+
 RAW = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -145,11 +147,30 @@ DERIVED = {
     """,
 }
 
+# Check SQL of the per-loan frame: latest snapshot on or before the application.
+MERGED = """
+    select l.loan_id, l.customer_id, l.application_date, c.age, c.gender, c.marital_status, c.dependents, c.education,
+           c.employment_type, c.employment_years, c.annual_income, c.city_tier, l.loan_type, l.loan_amount,
+           l.loan_tenure_months, l.interest_rate, l.loan_purpose, f.as_of_date as financial_as_of_date,
+           f.monthly_income, f.monthly_expenses, f.existing_loan_count, f.existing_loan_amount, f.monthly_emi,
+           f.savings_balance, f.total_assets, f.total_liabilities, h.as_of_date as credit_as_of_date,
+           h.credit_history_months, h.num_credit_accounts, h.total_credit_limit, h.total_outstanding,
+           h.previous_defaults, h.late_payments_12m, h.missed_payments_12m, h.active_loans, h.closed_loans,
+           h.credit_utilization as bureau
+    from {loan_applications} l
+    left join {customers} c on l.customer_id = c.customer_id
+    asof left join {financial_profiles} f on l.customer_id = f.customer_id and l.application_date >= f.as_of_date
+    asof left join {credit_history} h on l.customer_id = h.customer_id and l.application_date >= h.as_of_date
+"""
+
 
 def _braces(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 class Inputs:
     """Lazily built tables of one data folder."""
 
@@ -170,8 +191,16 @@ class Inputs:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self[n] for n in _braces(text)})
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written once per session and data folder, as the credit
+        tables would lie on storage."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = materialize(self[name])
+        return _STORED[key]
+
     def credit(self) -> dict[str, DataFrame]:
-        return {n: self[n] for n in ("customers", "loan_applications", "financial_profiles", "credit_history", "loan_outcomes")}
+        return {n: self.stored(n) for n in ("customers", "loan_applications", "financial_profiles", "credit_history", "loan_outcomes")}
 
 
 def with_inputs(body: str) -> str:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from registered.base import R, query, r, rounded
+from registered.inputs import MERGED
 from riskframe.config import (
     MONITORING,
     REQUEST_BOUNDS,
@@ -16,8 +17,8 @@ from riskframe.config import (
     SCORING_BOUNDS,
     SCORING_ENUMS,
 )
-from riskframe.functions.exprs import compact, record_key
-from riskframe.operators import constraints, engine, rules
+from riskframe.functions.exprs import compact
+from riskframe.operators import constraints, engine, joins, rules
 
 AS_OF = date(2001, 1, 1)
 
@@ -175,17 +176,13 @@ query("rule_temporal_leakage", f"""
 
 # -- requests: one flat row per loan with its customer and latest snapshots ---------
 
-FLAT = """
-    select l.loan_id, l.customer_id, age, gender, marital_status, dependents, education, employment_type, employment_years,
-           annual_income, c.monthly_income, city_tier, loan_type, loan_amount, loan_tenure_months, interest_rate, loan_purpose,
-           monthly_expenses, existing_loan_count, existing_loan_amount, monthly_emi, savings_balance, total_assets, total_liabilities,
-           credit_history_months, num_credit_accounts, total_credit_limit, total_outstanding, credit_utilization,
-           previous_defaults, late_payments_12m, missed_payments_12m, active_loans, closed_loans
-    from {loan_applications} l join {customers} c on l.customer_id = c.customer_id
-    join {financial_profiles} f on f.customer_id = l.customer_id
-    join {credit_history} h on h.customer_id = f.customer_id and h.as_of_date = f.as_of_date + 3
-    where year(f.as_of_date) = year(l.application_date) and month(f.as_of_date) = month(l.application_date)
-"""
+FLAT = f"select * exclude (bureau), total_outstanding / total_credit_limit as credit_utilization from ({MERGED})"
+
+
+def flat(t):
+    """Loan, customer and latest snapshots in one row, as a scoring request has it."""
+    merged = joins.point_in_time_join(t["customers"], t["loan_applications"], t["financial_profiles"], t["credit_history"])
+    return merged.withColumn("credit_utilization", F.col("total_outstanding") / F.col("total_credit_limit"))
 
 
 def _bounds_sql(enums, bounds, lengths, cross) -> str:
@@ -219,7 +216,7 @@ def _bounds_sql(enums, bounds, lengths, cross) -> str:
 def _request(enums, bounds, lengths, cross):
     def fn(t):
         problems = rules.request_problems(enums, bounds, lengths, cross)
-        return t.sql(FLAT).select(F.explode(compact(problems)).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+        return flat(t).select(F.explode(compact(problems)).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
     return fn
 
@@ -386,7 +383,7 @@ ORDER = {
 
 
 def load(t):
-    tables = {**t.credit(), "customers": t["customers_loaded"], "loan_applications": t["loans_loaded"]}
+    tables = {**t.credit(), "customers": t.stored("customers_loaded"), "loan_applications": t.stored("loans_loaded")}
     return constraints.load_constrained(tables, constraints.credit_constraints(ORDER))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskframe.config import KEY_COLUMNS
 from riskframe.functions.exprs import clip, number
 from riskframe.operators.engine import ValidationRun, run
+from riskframe.operators.ordered import materialize
 from riskframe.operators.quantiles import quantiles
 
 Tables = dict[str, DataFrame]
@@ -153,8 +154,9 @@ class CleanResult:
 
 
 def apply(tables: Tables, state: CleanState, config: dict, order_by: dict[str, Sequence[str]], rules) -> CleanResult:
-    """Repair, drop rows that still break an ERROR rule, and drop their children."""
-    repaired = repair(tables, state, config, order_by)
+    """Repair, drop rows that still break an ERROR rule, and drop their children.
+    Repaired tables are written once: every rule and the split read them again."""
+    repaired = {t: materialize(df) for t, df in repair(tables, state, config, order_by).items()}
     validation = run(repaired, rules)
     kept = {t: validation.clean(t) if t in KEY_COLUMNS else df for t, df in repaired.items()}
     return CleanResult(cascade(kept), repaired, validation)

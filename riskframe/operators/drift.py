@@ -164,7 +164,7 @@ def categorical_psi(df: DataFrame, shares: dict[str, dict[str, float]], epsilon:
     t = category_table(df, shares)
     return t.groupBy("feature").agg(
         F.sum(psi_term(F.col("expected"), F.col("n") / F.col("total"), epsilon)).alias("psi"),
-        F.array_sort(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
+        F.sort_array(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
     )
 
 
@@ -178,7 +178,7 @@ def chi_square(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
     e = F.col("e") * F.col("scale")
     return t.join(scale, "feature").groupBy("feature").agg(
         F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("statistic"), (F.count("*") - 1).alias("dof"),
-        F.array_sort(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
+        F.sort_array(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
     )
 
 

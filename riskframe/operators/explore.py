@@ -223,7 +223,7 @@ def regime_shift(monthly: DataFrame, z_threshold: float = 2.0) -> DataFrame:
     return monthly.agg(
         F.avg(rate).alias("mean_default_rate"), F.coalesce(F.stddev_samp(rate), F.lit(0.0)).alias("std_default_rate"),
         # One entry per month at most.
-        F.array_sort(F.collect_list(F.when(far, F.col("month")))).alias("flagged_months"),
+        F.sort_array(F.collect_list(F.when(far, F.col("month")))).alias("flagged_months"),
     ).withColumn("regime_shift_detected", F.size("flagged_months") > 0)
 
 
