@@ -10,8 +10,10 @@ def _load() -> None:
         evaluation,
         exploration,
         features,
+        modelling,
         monitoring,
         storage,
+        streams,
         validation,
     )
 

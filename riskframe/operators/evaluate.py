@@ -67,33 +67,33 @@ def confusion(df: DataFrame, y: str, p: str, threshold: float) -> DataFrame:
     )
 
 
-def calibration_fit(curve: DataFrame, max_iter: int = 50, tol: float = 1e-10) -> dict[tuple, tuple[float, float] | None]:
-    """Slope and intercept of y ~ logit(score) per segment, unpenalised.  Newton
-    steps; each is one aggregate over the curve for all segments at once, and the
-    driver holds two numbers per segment."""
+def calibration_fit(curve: DataFrame) -> dict[tuple, tuple[float, float] | None]:
+    """Slope and intercept of y ~ logit(score) per segment, unpenalised; None for a
+    segment with one class."""
     keys = _keys(curve)
     p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    points = curve.select(*keys, F.ln(p / (1 - p)).alias("x"), "pos", "neg")
-    spark = curve.sparkSession
-    start = points.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return newton_logit(curve.select(*keys, F.ln(p / (1 - p)).alias("x"), "pos", "neg"), keys)
+
+
+def newton_logit(points: DataFrame, keys: Sequence[str], max_iter: int = 50, tol: float = 1e-10) -> dict[tuple, tuple[float, float] | None]:
+    """One-feature logistic fits on (keys..., x, pos, neg) weights.  Each Newton step
+    is one aggregate for all keys at once; the driver holds two numbers per key."""
+    spark = points.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema)
     state, done = {}, {}
-    for r in start.collect():
+    for r in points.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect():
         k = tuple(r[c] for c in keys)
-        if r.P and r.N:
+        if r.P > 0 and r.N > 0:
             state[k] = (0.0, math.log(r.P / r.N))
         else:
             done[k] = None
-    schema = curve.select(*keys).schema
     for _ in range(max_iter):
         if not state:
             break
-        coef = spark.createDataFrame(
-            [(*k, b, a) for k, (b, a) in state.items()],
-            schema.simpleString()[7:-1].replace(":", " ") + ", b double, a double",
-        )
+        coef = spark.createDataFrame([(*k, b, a) for k, (b, a) in state.items()], f"{schema}, b double, a double")
         mu = 1.0 / (1.0 + F.exp(-(F.col("b") * F.col("x") + F.col("a"))))
         n = F.col("pos") + F.col("neg")
-        sums = points.join(F.broadcast(coef), keys).select(
+        sums = points.join(coef, list(keys)).select(
             *keys, "x", (F.col("pos") - n * mu).alias("g"), (n * mu * (1 - mu)).alias("w"),
         ).groupBy(*keys).agg(
             F.sum("g").alias("g0"), F.sum(F.col("g") * F.col("x")).alias("g1"), F.sum("w").alias("h00"),
@@ -105,7 +105,7 @@ def calibration_fit(curve: DataFrame, max_iter: int = 50, tol: float = 1e-10) ->
             det = r.h00 * r.h11 - r.h01 * r.h01
             if det <= 1e-12 * max(r.h00 * r.h11, 1e-300):
                 # All scores equal: only the level can be fitted.
-                done[k] = (0.0, state.pop(k)[1]) if b == 0.0 else state.pop(k)
+                done[k] = state.pop(k)
                 continue
             db = (r.h00 * r.g1 - r.h01 * r.g0) / det
             da = (r.h11 * r.g0 - r.h01 * r.g1) / det
@@ -155,7 +155,7 @@ def suite_of_curve(curve: DataFrame, threshold: float = 0.5, calibration: bool =
     )
     if calibration:
         fits = [(*k, *(v or (None, None))) for k, v in calibration_fit(curve).items()]
-        schema = curve.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in curve.select(*keys).schema)
         fitted = curve.sparkSession.createDataFrame(
             fits, f"{schema}, calibration_slope double, calibration_intercept double")
         out = out.join(fitted, keys, "left")

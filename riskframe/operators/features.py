@@ -132,8 +132,10 @@ def _corr(x: Column, y: Column) -> Column:
     """Pearson r over rows where both are present; null when either is constant."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    return F.when(varies, F.corr(x, y))
+    # From moments, because ``corr`` itself raises on a constant column.
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (spread > 0)
+    return F.when(varies, F.covar_pop(x, y) / spread)
 
 
 def correlation_offenders(df: DataFrame, columns: Sequence[str], target: str, threshold: float = 0.95) -> DataFrame:
