@@ -62,3 +62,12 @@ def histogram_bin(c: str | Column, low: float, high: float, n_bins: int) -> Colu
     width = (high - low) / n_bins
     raw = F.floor((c - F.lit(low)) / F.lit(width)).cast("int")
     return F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1))
+
+
+def indexed_bin(index: Column, value: Column, edges: Sequence[Sequence[float]], closed: str) -> Column:
+    """0-based bin of a long-form value by the inner edges of its feature number.
+    One small expression for any number of features, where a CASE chain per
+    feature would outgrow a compiled method."""
+    table = F.array(*[F.array(*[F.lit(float(e)) for e in es]).cast("array<double>") for es in edges])
+    below = (lambda e: e < value) if closed == "right" else (lambda e: e <= value)
+    return F.when(value.isNotNull(), F.size(F.filter(F.get(table, index), below)))

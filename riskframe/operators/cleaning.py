@@ -76,18 +76,21 @@ def _dedup_clip(tables: Tables, config: dict, order_by: dict[str, Sequence[str]]
 
 
 def fit(train: Tables, config: dict, order_by: dict[str, Sequence[str]]) -> CleanState:
-    """Medians and winsor bounds after dedup and clip, one quantile job set per table."""
-    source = _dedup_clip(train, config, order_by)
+    """Medians and winsor bounds after dedup and clip.  Per table only the fitted
+    columns are deduplicated, clipped and written out; the quantile passes read that."""
     w = config["winsorize"]
     medians: dict[str, dict[str, float]] = {}
     winsor: dict[str, dict[str, tuple[float, float]]] = {}
-    for t, df in source.items():
+    for t, df in train.items():
         med = [c for c in config["impute_numeric"].get(t, []) if c in df.columns]
         win = [c for c in w["columns"].get(t, []) if c in df.columns]
         wanted = list(dict.fromkeys(med + win))
         if not wanted:
             continue
-        q = quantiles(df, wanted, [w["lower"], 0.5, w["upper"]])
+        needed = [*wanted, *config["dedup"].get(t, []), *(order_by[t] if t in config["dedup"] else [])]
+        narrow = df.select(*dict.fromkeys(needed))
+        source = materialize(_dedup_clip({t: narrow}, config, order_by)[t].select(*wanted))
+        q = quantiles(source, wanted, [w["lower"], 0.5, w["upper"]])
         medians[t] = {c: q[c][1] for c in med if q[c]}
         winsor[t] = {c: (q[c][0], q[c][2]) for c in win if q[c]}
     return CleanState(medians, winsor)
@@ -157,7 +160,7 @@ def apply(tables: Tables, state: CleanState, config: dict, order_by: dict[str, S
     """Repair, drop rows that still break an ERROR rule, and drop their children.
     Repaired tables are written once: every rule and the split read them again."""
     repaired = {t: materialize(df) for t, df in repair(tables, state, config, order_by).items()}
-    validation = run(repaired, rules)
+    validation = run(repaired, [r for r in rules if r.severity == "ERROR"])
     kept = {t: validation.clean(t) if t in KEY_COLUMNS else df for t, df in repaired.items()}
     return CleanResult(cascade(kept), repaired, validation)
 

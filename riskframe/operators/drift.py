@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.config import MONITORING
-from riskframe.functions.bins import bin_index, open_ended
+from riskframe.functions.bins import indexed_bin, open_ended
 from riskframe.functions.exprs import number
 from riskframe.functions.pvalues import chi2_p, ks_p, normal_quantile
 from riskframe.operators.explore import _long
@@ -100,11 +100,11 @@ def psi_status(psi: Column, warning: float = MONITORING["psi_warning"], drift: f
 def histogram_counts(df: DataFrame, edges: dict[str, Sequence[float]], group_by: Sequence[str] = ()) -> DataFrame:
     """group_by..., feature, bin, n over left-closed bins, all features in one job."""
     items = [
-        F.struct(F.lit(c).alias("feature"), bin_index(number(c), list(e)[1:-1], "left").alias("bin"))
-        for c, e in edges.items()
+        F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), number(c).alias("value")) for i, c in enumerate(edges)
     ]
     rows = df.select(*group_by, F.explode(F.array(*items)).alias("s")).select("*", "s.*").drop("s")
-    return rows.where("bin is not null").groupBy(*group_by, "feature", "bin").agg(F.count("*").alias("n"))
+    bins = indexed_bin(F.col("i"), F.col("value"), [list(e)[1:-1] for e in edges.values()], "left")
+    return rows.where("value is not null").groupBy(*group_by, "feature", bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def psi_of_counts(counts: DataFrame, edges: dict[str, Sequence[float]], expected: dict[str, Sequence[float]] | None = None,

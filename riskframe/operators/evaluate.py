@@ -87,13 +87,19 @@ def newton_logit(points: DataFrame, keys: Sequence[str], max_iter: int = 50, tol
             state[k] = (0.0, math.log(r.P / r.N))
         else:
             done[k] = None
+    single = len(state) + len(done) == 1
     for _ in range(max_iter):
         if not state:
             break
-        coef = spark.createDataFrame([(*k, b, a) for k, (b, a) in state.items()], f"{schema}, b double, a double")
+        if single:
+            b, a = next(iter(state.values()))
+            with_coef = points.withColumns({"b": F.lit(b), "a": F.lit(a)})
+        else:
+            coef = spark.createDataFrame([(*k, b, a) for k, (b, a) in state.items()], f"{schema}, b double, a double")
+            with_coef = points.join(coef, list(keys))
         mu = 1.0 / (1.0 + F.exp(-(F.col("b") * F.col("x") + F.col("a"))))
         n = F.col("pos") + F.col("neg")
-        sums = points.join(coef, list(keys)).select(
+        sums = with_coef.select(
             *keys, "x", (F.col("pos") - n * mu).alias("g"), (n * mu * (1 - mu)).alias("w"),
         ).groupBy(*keys).agg(
             F.sum("g").alias("g0"), F.sum(F.col("g") * F.col("x")).alias("g1"), F.sum("w").alias("h00"),

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.config import IV_BANDS, LOW_CARDINALITY
-from riskframe.functions.bins import bin_index, distinct_edges, histogram_bin
+from riskframe.functions.bins import distinct_edges, histogram_bin, indexed_bin
 from riskframe.functions.exprs import number
 from riskframe.functions.pvalues import correlation_p
 from riskframe.operators.features import _corr
@@ -67,18 +67,14 @@ def decile_counts(df: DataFrame, columns: Sequence[str], target: str, n_bins: in
     """feature, decile, min_value, max_value, n, n_default, default_rate for
     quantile bins; repeated edges merge bins, a constant column is one bin."""
     edges = quantiles(df, columns, [i / n_bins for i in range(n_bins + 1)])
-    items = []
-    for c in columns:
-        inner = distinct_edges(edges[c] or [])[1:-1]
-        v = number(c)
-        items.append(F.struct(F.lit(c).alias("feature"), bin_index(v, inner, "right").alias("bin"), v.alias("value")))
+    items = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), number(c).alias("value")) for i, c in enumerate(columns)]
     rows = df.select(F.col(target).cast("int").alias("y"), F.explode(F.array(*items)).alias("s")).select("y", "s.*")
-    grouped = rows.where("value is not null").groupBy("feature", "bin").agg(
+    inner = [distinct_edges(edges[c] or [])[1:-1] for c in columns]
+    bins = indexed_bin(F.col("i"), F.col("value"), inner, "right")
+    grouped = rows.where("value is not null").groupBy("feature", bins.alias("bin")).agg(
         F.count("*").alias("n"), F.sum("y").cast("long").alias("n_default"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
     )
-    from pyspark.sql import Window
-
     # At most n_bins rows per feature.
     decile = F.row_number().over(Window.partitionBy("feature").orderBy("bin"))
     return grouped.select(

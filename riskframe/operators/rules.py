@@ -62,17 +62,19 @@ def _moment(c: str) -> Column:
 
 def missing_value(table: str, column: str, threshold: float = 0.0, severity: str = "WARNING"):
     name = f"missing_value:{table}.{column}"
-    detail = F.lit(f"{column} is missing")
+    detail = f"{column} is missing"
     if threshold <= 0:
         # "more than 0 % missing" holds whenever one row is missing.
-        return RowRule(name, severity, table, lambda df: [F.when(F.col(column).isNull(), detail)] if column in df.columns else [])
+        return RowRule(
+            name, severity, table,
+            lambda df: [F.when(F.col(column).isNull(), F.lit(detail))] if column in df.columns else [])
 
     def check(tables: Tables):
         df = tables.get(table)
         if df is None or column not in df.columns:
             return None
         share = df.select(F.avg(F.col(column).isNull().cast("double"))).scalar()
-        return keyed(df.where(F.col(column).isNull() & (share > F.lit(threshold))), table, detail)
+        return keyed(df.where(F.col(column).isNull() & (share > F.lit(threshold))), table, F.lit(detail))
 
     return SetRule(name, severity, table, check)
 
@@ -123,9 +125,8 @@ def impossible_age(table: str = "customers", column: str = "age", min=18, max=10
 
 
 def invalid_date(table, columns, order_pairs=None, allow_future=False, severity="ERROR", as_of: date | None = None):
-    today = F.current_date() if as_of is None else F.lit(as_of)
-
     def details(df):
+        today = F.current_date() if as_of is None else F.lit(as_of)
         out = []
         for c in columns:
             if c not in df.columns:

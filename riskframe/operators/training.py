@@ -37,7 +37,7 @@ def with_weights(df: DataFrame, label: str, weights: dict | None, output: str =
     return df.withColumn(output, expr)
 
 
-def logistic(total_weight: float, C: float = 1.0, penalty: str = "l2", l1_ratio: float = 0.0, max_iter: int = 200, tol: float = 1e-8, label: str = "label", features: str = "features") -> LogisticRegression:  # noqa: N803
+def logistic(total_weight: float, C: float = 1.0, penalty: str = "l2", l1_ratio: float = 0.0, max_iter: int = 200, tol: float = 1e-6, label: str = "label", features: str = "features") -> LogisticRegression:  # noqa: N803
     """Penalty of 1/C on the summed loss, as mean loss plus regParam."""
     alpha = l1_ratio if penalty == "elasticnet" else 0.0
     return LogisticRegression(

@@ -98,7 +98,9 @@ def train(prepared: Prepared, family: str = "logistic_regression", params: dict
     if family == "logistic_regression":
         means = explain.background_means(background, prepared.encoder)
         linear = explain.LinearState(prepared.encoder.names(), [float(c) for c in model.coefficients], float(model.intercept), means)
-    bench = explore.benchmarks(part, NUMERIC_FEATURES, CATEGORICAL_FEATURES + ORDINAL_FEATURES)
+    # The encoder was fitted on the same rows and already holds their medians.
+    medians = {c: {"median": m} for c, (m, _, _) in prepared.encoder.numeric.items()}
+    bench = {**medians, **explore.benchmarks(part, [], CATEGORICAL_FEATURES + ORDINAL_FEATURES)}
     return CreditModel(model, family, params, linear, prepared.bands, prepared.encoder, calibration, chosen, bench, background)
 
 

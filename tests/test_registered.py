@@ -1,5 +1,9 @@
 """Registered queries: names, SQL and a few plans."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -15,6 +19,13 @@ def test_every_check_has_a_query():
     assert len(entry.queries()) > 150
 
 
+def test_checks_load_without_a_session():
+    """Rules and queries build no columns before a session exists."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    root = Path(__file__).resolve().parents[1]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
