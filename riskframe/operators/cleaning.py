@@ -91,8 +91,10 @@ def fit(train: Tables, config: dict, order_by: dict[str, Sequence[str]]) -> Clea
         narrow = df.select(*dict.fromkeys(needed))
         source = materialize(_dedup_clip({t: narrow}, config, order_by)[t].select(*wanted))
         q = quantiles(source, wanted, [w["lower"], 0.5, w["upper"]])
-        medians[t] = {c: q[c][1] for c in med if q[c]}
-        winsor[t] = {c: (q[c][0], q[c][2]) for c in win if q[c]}
+        if med:
+            medians[t] = {c: q[c][1] for c in med if q[c]}
+        if win:
+            winsor[t] = {c: (q[c][0], q[c][2]) for c in win if q[c]}
     return CleanState(medians, winsor)
 
 

@@ -1,8 +1,8 @@
 """Exact linear-interpolation quantiles of whole columns.
 
-Small columns (count checked) use the built-in exact ``percentile``.  Above that
-its per-group hash map would not fit one task, so a sketch brackets every wanted
-quantile, rows outside the brackets only add to a few counters, and the distinct
+Columns with few distinct values (checked first) use the built-in exact
+``percentile``.  Above that its hash map of values would outgrow one task, so a
+sketch brackets every wanted quantile, rows outside the brackets only add to a few counters, and the distinct
 values inside are ranked with distributed running sums.  The ranks are verified
 against exact counts; a bracket that missed its rank falls back to the whole
 column, so the result is exact either way.
@@ -20,8 +20,8 @@ from riskframe.functions.bins import indexed_bin
 from riskframe.functions.exprs import number
 from riskframe.operators.ordered import running_sums
 
-# Up to this many values of one column the built-in exact percentile is used;
-# above it the bracketed way is also the faster one.
+# Up to about this many distinct values the built-in exact percentile is used, however
+# many rows there are; above it the bracketed way is also the faster one.
 SMALL_COLUMN = 100_000
 # Relative rank error of the sketch is 1 / ACCURACY; brackets reach 3 / ACCURACY around a quantile.
 ACCURACY = 2_000
@@ -90,16 +90,20 @@ def quantiles(
     small_column = SMALL_COLUMN if small_column is None else small_column
     cols = list(columns)
     data = df.select(*[number(c).alias(c) for c in cols])
-    head = data.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    head = data.agg(
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(cols)],
+    ).first()
     n = {c: head[f"n_{i}"] for i, c in enumerate(cols)}
+    distinct = {c: head[f"d_{i}"] for i, c in enumerate(cols)}
     out: dict[str, list[float] | None] = {c: None for c in cols}
-    small = [c for c in cols if 0 < n[c] <= small_column]
+    small = [c for c in cols if n[c] and distinct[c] <= small_column]
     if small:
         row = data.agg(*[
             F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q_{i}") for i, c in enumerate(small)
         ]).first()
         out.update({c: list(row[f"q_{i}"]) for i, c in enumerate(small)})
-    large = [c for c in cols if n[c] > small_column]
+    large = [c for c in cols if n[c] and distinct[c] > small_column]
     if large:
         m = len(probs)
         wanted = {c: {r for p in probs for r in (math.floor((n[c] - 1) * p), math.ceil((n[c] - 1) * p))} for c in large}

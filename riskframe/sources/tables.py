@@ -162,3 +162,31 @@ def load_baseline(spark: SparkSession, model_id: str, root: str):
         return load_state(spark, Baseline, f"{root}/{model_id}/profile"), spark.read.parquet(f"{root}/{model_id}/sample")
     except AnalysisException as e:
         raise FileNotFoundError(f"no baseline for model {model_id}") from e
+
+
+def save_explainer(spark: SparkSession, credit, model_id: str, root: str) -> None:
+    """Background rows, portfolio benchmarks and linear state of a trained model."""
+    credit.background.write.mode("overwrite").parquet(f"{root}/{model_id}/background")
+    write_json(spark, credit.benchmarks, f"{root}/{model_id}/benchmarks")
+    if credit.linear is not None:
+        save_state(spark, credit.linear, f"{root}/{model_id}/linear")
+
+
+def load_explainer(spark: SparkSession, model_id: str, root: str):
+    """(background rows, benchmarks, linear state)."""
+    from riskframe.operators.explain import LinearState
+
+    return (
+        spark.read.parquet(f"{root}/{model_id}/background"), read_json(spark, f"{root}/{model_id}/benchmarks"),
+        load_state(spark, LinearState, f"{root}/{model_id}/linear"),
+    )
+
+
+def save_report(report: dict[str, DataFrame], model_id: str, root: str) -> None:
+    """Curves and tables of a model's test report, one parquet folder each."""
+    for name, df in report.items():
+        df.write.mode("overwrite").parquet(f"{root}/{model_id}/report/{name}")
+
+
+def load_report(spark: SparkSession, model_id: str, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root}/{model_id}/report/{n}") for n in names}
