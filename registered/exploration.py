@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registered.base import R, query, r, rounded
+from registered.base import R, query, rounded
 from riskframe.config import HIGH_RISK
 from riskframe.operators import explore, portfolio
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registered.base import query, rounded
 from registered.validation import AS_OF
 from riskframe.config import RULES
-from riskframe.operators import drift, encode, evaluate, explain, rules, split, training
+from riskframe.operators import drift, encode, evaluate, explain, rules, training
 from riskframe.plans import cycle, model
 
 ORDER = {"customers": ["row_no"], "loan_applications": ["row_no"]}

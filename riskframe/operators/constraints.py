@@ -56,10 +56,11 @@ def _mark(df: DataFrame, c: TableConstraints, loaded: dict[str, DataFrame]) -> D
         if not c.order_by:
             raise ValueError(f"{c.table}: a key needs order_by to say which row comes first")
         order = F.struct(*c.order_by)
-        # min() combines before the shuffle: a heavy key is one row per task.
+        # Combines before the shuffle: a heavy key is one row per task.  Only repeated
+        # keys are joined back.
         first = (
             df.where("_rule is null").groupBy(*[F.col(k).alias(f"_k_{k}") for k in c.key])
-            .agg(F.min(order).alias("_first"))
+            .agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         )
         same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in c.key])
         later = order > F.col("_first")

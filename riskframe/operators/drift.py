@@ -19,6 +19,7 @@ from riskframe.config import MONITORING
 from riskframe.functions.bins import indexed_bin, open_ended
 from riskframe.functions.exprs import number
 from riskframe.functions.pvalues import chi2_p, ks_p, normal_quantile
+from riskframe.operators.encode import MAX_LEVELS
 from riskframe.operators.explore import _long
 from riskframe.operators.ordered import running_sums
 from riskframe.operators.quantiles import quantiles
@@ -75,7 +76,10 @@ def build_baseline(
     }
     shares: dict[str, dict[str, float]] = {c: {} for c in categorical}
     if categorical:
-        for r in category_counts(train, categorical).collect():  # one row per category
+        counts = category_counts(train, categorical)
+        if not counts.groupBy("feature").count().where(F.col("count") > MAX_LEVELS).isEmpty():
+            raise ValueError(f"a categorical column has more than {MAX_LEVELS} levels")
+        for r in counts.collect():  # checked above
             shares[r.feature][r.value] = r.n / row.n
     sample = exact_sample(train, key, sample_size, seed).select(*numeric, F.col(probability).alias("__p_default__"))
     return Baseline(model_id, row.n, row.rate, profile, shares, edges[probability], window), sample

@@ -34,7 +34,7 @@ def in_window(predictions: DataFrame, start, end, model_id: str | None = None) -
     return out if model_id is None else out.where(F.col("model_id") == model_id)
 
 
-def operational_aggregates(group=None) -> list:
+def operational_aggregates() -> list:
     """Volume, decision mix, score and risk aggregates (shared with the stream)."""
     n = F.count("*")
 
@@ -78,11 +78,6 @@ def daily_series(predictions: DataFrame, threshold: float) -> DataFrame:
     ).orderBy("date")
 
 
-SEGMENTS = {
-    "loan_type": F.col, "employment_type": F.col,
-}
-
-
 def segment_rates(predictions: DataFrame, threshold: float) -> DataFrame:
     """Predicted default rate by loan type, employment, income band and age band,
     all in one job; rows without the segment value are left out."""
