@@ -100,9 +100,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Texts of repeated keys, chained within their bucket by their bytes.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     repeated = per_key.where("n > 1").select("key", salts.alias("salt"))
-    texts = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    texts = rows.select("key", "norm", _rank(F.col("text"), F.col("id")).alias("rank"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     texts = texts.join(repeated.hint("shuffle_hash"), ["key", "salt"], "left_semi")
-    chained = placed(texts).groupBy("bucket", "key", "norm").agg(F.count("*").alias("size"), F.max(_rank(F.col("text"), F.col("id"))).alias("best"))
+    chained = placed(texts).groupBy("bucket", "key", "norm").agg(F.count("*").alias("size"), F.max("rank").alias("best"))
     keep = (F.lit(_TOP) - F.col("best") % F.lit(_WIDE)).cast("long")
     index = materialize(chained.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "size", keep.alias("keep")))
 

@@ -4,14 +4,42 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, secret_ledger
+from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, secret_ledger, simhash, token_counts
 from riskframe.llm.common import table
 from riskframe.operators.ordered import shared_dir
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks, pattern), ranks, pattern)
+    return both.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as the token files that their partitions would be written to."""
+    separator = 50256
+    blocks = token_counts.token_blocks(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), separator)
+    return token_counts.count_tokens(blocks, separator).select("doc_id", "n_tokens", "file", "ordinal")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, folder, "documents"))
 
@@ -26,6 +54,27 @@ select doc_id, keep_id, group_size, keep_id = doc_id kept, sha256(norm) text_sha
 """
 
 
+def op6_lattice_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+OP6_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u as (
+  select vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from v
+), links as (
+  select a.vec_id a, b.vec_id b from u a join u b using (label)
+  where a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) >= 0.98
+), reach(vec_id, node) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join links l on l.a = r.node
+), comp as (select vec_id, min(node) component_id from reach group by 1)
+select vec_id, (select count(*) from links where a = vec_id) n_links, component_id, vec_id = component_id kept from comp
+"""
+
+
 def new_ledger(spark: SparkSession) -> str:
     """Place of a ledger that starts empty, in the shared folder."""
     return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
@@ -69,8 +118,19 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 from d left join by_doc using (doc_id)
 """
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_pack": op2_pack,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lattice_dedup": op6_lattice_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op10_simhash": op10_simhash,
 }
-CHECKS = {"op5_exact_dedup": OP5_SQL, "op8_secret_scan": OP8_SQL}
+CHECKS = {"op6_lattice_dedup": OP6_SQL, "op5_exact_dedup": OP5_SQL, "op8_secret_scan": OP8_SQL}
