@@ -118,7 +118,7 @@ def code_lengths(texts: list[bytes], trees: list[Tree], order: int = ORDER) -> n
     out = np.zeros((len(texts), len(trees)))
     if not sizes.sum():
         return out
-    symbols = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    symbols = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int32)
     begins = np.append(0, np.cumsum(sizes)[:-1])
     count = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), count)
@@ -132,7 +132,7 @@ def code_lengths(texts: list[bytes], trees: list[Tree], order: int = ORDER) -> n
         inside = (at >= begins[owner]) & (at < stop)
         if not inside.any():
             continue
-        symbol = np.where(inside, symbols[np.minimum(np.maximum(at, 0), len(symbols) - 1)], _PAD).astype(np.int32)
+        symbol = np.where(inside, symbols[np.minimum(np.maximum(at, 0), len(symbols) - 1)], np.int32(_PAD))
         for i, tree in enumerate(trees):
             cell = states[i] + symbol
             if step >= 0:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, secret_ledger, simhash, token_counts
+from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, passages, secret_ledger, simhash, token_counts
 from riskframe.llm.common import table
 from riskframe.operators.ordered import shared_dir
 
@@ -75,6 +75,11 @@ select vec_id, (select count(*) from links where a = vec_id) n_links, component_
 """
 
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def new_ledger(spark: SparkSession) -> str:
     """Place of a ledger that starts empty, in the shared folder."""
     return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
@@ -130,6 +135,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_lattice_dedup": op6_lattice_dedup,
+    "op7_passages": op7_passages,
     "op8_secret_scan": op8_secret_scan,
     "op10_simhash": op10_simhash,
 }
