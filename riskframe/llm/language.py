@@ -15,7 +15,7 @@ together and long texts cost no more than short ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -164,9 +164,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return {lang: Tree(t) for lang, t in sorted(texts.items())}
 
 
-def identify(docs: DataFrame, trees: dict[str, Tree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: dict[str, Tree], id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, ``lang_pred``, ``score`` (the posterior of the
-    language under equal priors) and ``bits_per_byte`` of its code.
+    language under equal priors) and ``bits_per_byte`` of its code; before them the
+    ``carried`` columns of the row, in the place of id where there are any.
 
     A null text, or one without a letter, is ``und`` with score 0 and null bits, and
     so is every text if there are no trees.  Of equal codes the first language in
@@ -188,8 +189,8 @@ def identify(docs: DataFrame, trees: dict[str, Tree], id_col: str = "doc_id", te
                 for i, t, b, o, row in zip(some, texts, best.tolist(), odds.tolist(), bits):
                     lang[i], score[i], per_byte[i] = names[b], 1 / o, float(row[b]) / len(t)
 
-            letters = batch.column(2).to_pylist()
-            column = batch.column(1).cast(pa.binary())
+            letters = batch.column(1).to_pylist()
+            column = batch.column(0).cast(pa.binary())
             for i in range(batch.num_rows if names else 0):
                 if letters[i]:
                     some.append(i)
@@ -201,9 +202,10 @@ def identify(docs: DataFrame, trees: dict[str, Tree], id_col: str = "doc_id", te
             if texts:
                 settle()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())],
-                names=["id", "lang_pred", "score", "bits_per_byte"])
+                [*batch.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())],
+                names=[*batch.schema.names[2:], "lang_pred", "score", "bits_per_byte"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    carried = list(carried) or [id_col]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    rows = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *carried)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits_per_byte double")

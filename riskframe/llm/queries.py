@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, passages, secret_ledger, simhash, token_counts
+from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, passages, secret_ledger, simhash, token_counts, toxicity
 from riskframe.llm.common import table
 from riskframe.operators.ordered import shared_dir
 
@@ -123,6 +123,11 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 from d left join by_doc using (doc_id)
 """
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -137,6 +142,7 @@ QUERIES = {
     "op6_lattice_dedup": op6_lattice_dedup,
     "op7_passages": op7_passages,
     "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 CHECKS = {"op6_lattice_dedup": OP6_SQL, "op5_exact_dedup": OP5_SQL, "op8_secret_scan": OP8_SQL}

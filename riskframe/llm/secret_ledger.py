@@ -80,18 +80,18 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per input row: id, ``blob``, ``found``: array of (start, kind, end)
-    ordered by start, then by the order of ``rules``.
+def address(text_col: str = "text") -> Column:
+    """The blob that a row's text is."""
+    return F.sha2(whole_text(text_col), 256)
 
-    Null texts count as empty; empty texts have no findings.  Repeated rows share a
-    blob and its findings.  An empty table adds nothing to the ledger.  Columns
-    other than id and text are ignored.  ``ledger`` is a shared folder."""
+
+def update(docs: DataFrame, ledger: str, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Scan what the ledger has not seen, append it, and return ``blob`` and ``found``
+    of every blob in the ledger in which these rules found something."""
     spark = docs.sparkSession
     text = whole_text(text_col)
-    paths = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"))
     # Equal texts are combined before the shuffle, so each blob is held once.
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
+    blobs = docs.select(address(text_col).alias("blob"), text.alias("text")).distinct()
     wanted = F.array(*[F.lit(r.key) for r in rules])
     seen = read_ledger(spark, ledger)
     if seen is None:
@@ -110,7 +110,18 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
     hits = hits.select("blob", F.col("rule"), order[F.col("rule")].alias("nth"), "spans")
     hits = hits.groupBy("blob").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.col("nth").alias("nth"), F.split_part(F.col("rule"), F.lit("@"), F.lit(1)).alias("kind"), s["end"].alias("end"))))).alias("found"))
-    hits = hits.select("blob", F.sort_array("found").alias("found"))
+    return hits.select("blob", F.sort_array("found").alias("found"))
+
+
+def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """One row per input row: id, ``blob``, ``found``: array of (start, nth, kind, end)
+    ordered by start, then by the order of ``rules``.
+
+    Null texts count as empty; empty texts have no findings.  Repeated rows share a
+    blob and its findings.  An empty table adds nothing to the ledger.  Columns
+    other than id and text are ignored.  ``ledger`` is a shared folder."""
+    hits = update(docs, ledger, text_col, rules)
+    paths = docs.select(F.col(id_col).alias("id"), address(text_col).alias("blob"))
     none = F.expr("cast(array() as array<struct<start:int,nth:int,kind:string,end:int>>)")
     return paths.join(hits, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
 

@@ -14,6 +14,7 @@ too many classes are keyed by further blocks before any task takes them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from riskframe.llm.components import components
 from riskframe.operators.ordered import materialize
 
-WORDS, BITS, DISTANCE = 3, 3, 3
+WORDS, DISTANCE = 3, 3
+#: Bits of the fingerprints that verify a link.
+CHECK_BITS = 256
 #: Children of an index node.
 FANOUT = 16
 #: Classes of a bucket above which it is keyed by further blocks.
@@ -38,35 +41,55 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """64-bit SimHash of the shingles of a UTF-8 text."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` lower-cased words, blank-joined; a
+    text with fewer words is one run."""
     found = text.translate(_LOWER).split()
-    if not found:
-        return 0
+    digest = xxhash.xxh64_intdigest
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
+        hashes = [digest(joined, 42)] if found else []
     else:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ends = np.cumsum(sizes + 1) - 1
-        digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip((ends - sizes).tolist(), ends[words - 1:].tolist())]
-    table = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half the hashes; without hashes, 0."""
+    table = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(table[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """id and ``fp``, the fingerprint as a signed long.  Null counts as empty."""
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    h = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, distinct: bool = False, check_words: int | None = None) -> DataFrame:
+    """id, ``fp`` (a signed long) and ``check``: with ``check_words``, fingerprints of
+    CHECK_BITS bits in all of the distinct shingles of so many words.  With
+    ``distinct``, repeats of a shingle count once in ``fp`` too.  Null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            out = np.array([fingerprint(t.as_py() or b"", words) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "fp"])
+            fps, checks = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                text = text.as_py() or b""
+                hashes = shingle_hashes(text, words)
+                fps.append(fingerprint(np.unique(hashes) if distinct else hashes))
+                if check_words is not None:
+                    hashes = np.unique(shingle_hashes(text, check_words))
+                    checks += [fingerprint(_mixed(hashes, i + 1)) for i in range(CHECK_BITS // 64)]
+            per = len(checks) // max(1, len(fps))
+            flat = pa.array(np.array(checks, dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * per, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], names=["id", "fp", "check"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, check array<long>")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -157,17 +180,19 @@ def _taken(fp: Column, bits: list[int]) -> Column:
 def _tables(classes: int, distance: int) -> list[list[int]]:
     """Bit sets such that fingerprints within the distance agree on all bits of one
     of them.  More classes take longer keys; what is found is the same."""
-    parts = distance + 1 + (classes > 1 << 22) + (classes > 1 << 31)
+    parts = distance + 1
+    while parts < distance + 6 and 64 * (parts - distance) // parts < classes.bit_length() - 4:
+        parts += 1
     blocks = _blocks(list(range(64)), parts)
     return [sum(c, []) for c in combinations(blocks, parts - distance)]
 
 
-def links(classes: DataFrame, count: int, distance: int = DISTANCE, bucket_rows: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between ``rep`` of distinct ``fp`` within the distance: of every
-    bucket a spanning forest."""
+def links(classes: DataFrame, count: int, distance: int = DISTANCE, bucket_rows: int = BUCKET, check_distance: int | None = None) -> DataFrame:
+    """Edges (a, b) between ``rep`` of classes whose ``fp`` are within the distance (and
+    ``check`` within its own): of every bucket a spanning forest."""
     tables = _tables(count, distance)
-    keyed = classes.select("fp", "rep", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("t"), _taken(F.col("fp"), bits).alias("key")) for i, bits in enumerate(tables)])).alias("k")).select("fp", "rep", "k.t", "k.key")
+    keyed = classes.select("fp", "rep", "check", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("t"), _taken(F.col("fp"), bits).alias("key")) for i, bits in enumerate(tables)])).alias("k")).select("fp", "rep", "check", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"))
     keyed = keyed.join(sizes, ["t", "key"])
     # Buckets too large for one task: agree on one more of the blocks of the other bits.
@@ -178,7 +203,7 @@ def links(classes: DataFrame, count: int, distance: int = DISTANCE, bucket_rows:
     more = F.lit(None).cast("array<bigint>")
     for t, column in enumerate(further):
         more = F.when(F.col("t") == t, column).otherwise(more)
-    keyed = keyed.select("fp", "rep", "t", "key", F.posexplode(F.when(F.col("n") > bucket_rows, more).otherwise(F.array(F.lit(0).cast("long")))).alias("u", "sub"))
+    keyed = keyed.select("fp", "rep", "check", "t", "key", F.posexplode(F.when(F.col("n") > bucket_rows, more).otherwise(F.array(F.lit(0).cast("long")))).alias("u", "sub"))
     keyed = keyed.repartition("t", "key", "u", "sub").sortWithinPartitions("t", "key", "u", "sub")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +218,18 @@ def links(classes: DataFrame, count: int, distance: int = DISTANCE, bucket_rows:
             bucket = np.append(0, np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))) if len(fp) else np.empty(0, np.int64)
             order = np.lexsort((gray_rank(fp), bucket))
             fp, rep, bucket = fp[order], rep[order], bucket[order]
-            label = forest(len(fp), GrayIndex(fp, bucket).pairs(distance)) if len(fp) else np.empty(0, np.int64)
+            check = table["check"].combine_chunks()
+            check = check if isinstance(check, pa.Array) else check.chunk(0)
+            check = check.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)[order] if len(fp) else None
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a, b in GrayIndex(fp, bucket).pairs(distance):
+                    if check_distance is not None:
+                        near = np.bitwise_count(check[a] ^ check[b]).sum(axis=1, dtype=np.int64) <= check_distance
+                        a, b = a[near], b[near]
+                    yield a, b
+
+            label = forest(len(fp), pairs()) if len(fp) else np.empty(0, np.int64)
             joined = np.flatnonzero(label != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(rep[joined]), pa.array(rep[label[joined]])], names=["a", "b"])
 
@@ -218,18 +254,28 @@ def links(classes: DataFrame, count: int, distance: int = DISTANCE, bucket_rows:
     return keyed.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, bucket_rows: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, bucket_rows: int = BUCKET, distinct: bool = False, check_words: int | None = None, check_distance: int | None = None) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long) and ``component_id``, the
     smallest id reachable over fingerprints at ``distance`` or fewer differing bits.
+    With ``check_words``, fingerprints of CHECK_BITS bits over shingles of that many
+    words must also be within ``check_distance`` (see ``check_limit``).
 
     Null texts count as empty; a text without words has fingerprint 0 and is linked
     like any other; a text with fewer words than a shingle is one shingle.  Repeated
     rows share a component.  Ids are longs; rows with a null id keep it and name no
     component unless they are alone in it (then null).  An empty table gives no
     rows; other columns are ignored."""
-    fps = materialize(fingerprints(docs, id_col, text_col, words))
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")))
-    edges = links(classes.where("rep is not null"), classes.count(), distance, bucket_rows)
+    fps = materialize(fingerprints(docs, id_col, text_col, words, distinct, check_words))
+    classes = materialize(fps.groupBy("fp", "check").agg(F.min("id").cast("long").alias("rep")))
+    edges = links(classes.where("rep is not null"), classes.count(), distance, bucket_rows, check_distance)
     found = components(edges)
-    owner = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(owner, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    owner = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "check", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(owner, ["fp", "check"]).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def check_limit(similarity: float) -> int:
+    """Bits of CHECK_BITS in which fingerprints of shingle sets with this Jaccard
+    similarity differ, two standard deviations above the mean: the share of bits is
+    the angle between the sets over pi."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(CHECK_BITS * share + 2 * math.sqrt(CHECK_BITS * share * (1 - share)))
