@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
-
 from riskframe.llm.common import process_cache
 
-#: Chunks that a worker process keeps before it starts anew.
-CACHED_CHUNKS = 400_000
+#: Chunks of an age; a worker process keeps two ages.
+CACHED_CHUNKS = 200_000
 #: Characters up to which a chunk is worth keeping.
 CACHED_LENGTH = 64
 #: Chunks encoded in one call of the tokenizer.
-BATCH = 4096
+BATCH = 50_000
 #: Characters of text worked on at a time (one text is never cut for it).
-WINDOW = 1_000_000
+WINDOW = 2_000_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r" \s|\s ")
@@ -48,31 +47,41 @@ def windows(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 class Kept:
-    """Ids of chunks that follow ``blank``, kept across texts and tasks."""
+    """Ids of chunks that follow ``blank``, kept across texts and tasks: those seen
+    lately, and those of the time before, of which the ones seen again move on."""
 
-    def __init__(self, name: str, blank: str, encode: Callable[[list[str]], list[bytes]]):
-        self.known: dict[str, bytes] = process_cache().setdefault(f"{name} {blank!r}", {})
+    def __init__(self, name: str, blank: str, encode: Callable[[list[str]], list[bytes]], size: int):
+        self.size = size
+        self.ages: list[dict[str, bytes]] = process_cache().setdefault(f"{name} {blank!r}", [{}, {}])
         self.blank, self.encode = blank, encode
 
     def of(self, chunks: set[str]) -> Callable[[str], bytes]:
         """A lookup that has all of ``chunks``."""
-        if len(self.known) + len(chunks) > CACHED_CHUNKS:
-            self.known.clear()
+        if len(self.ages[0]) >= self.size:
+            self.ages[:] = {}, self.ages[0]
+        known, older = self.ages
         long: dict[str, bytes] = {}
-        new = [c for c in chunks if c not in self.known]
+        new = []
+        for c in chunks:
+            if c not in known:
+                ids = older.get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    known[c] = ids
         for i in range(0, len(new), BATCH):
             part = new[i:i + BATCH]
             for c, ids in zip(part, self.encode([self.blank + c for c in part])):
-                (self.known if len(c) <= CACHED_LENGTH else long)[c] = ids
-        return (long | {c: self.known[c] for c in chunks if c not in long}).__getitem__ if long else self.known.__getitem__
+                (known if len(c) <= CACHED_LENGTH else long)[c] = ids
+        return (long | {c: known[c] for c in chunks if c not in long}).__getitem__ if long else known.__getitem__
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.  ``encode`` maps a list
     of strings to a list of such bytes; it must give the same for equal strings."""
 
-    def __init__(self, name: str, encode: Callable[[list[str]], list[bytes]]):
-        self.first, self.later = Kept(name, "", encode), Kept(name, " ", encode)
+    def __init__(self, name: str, encode: Callable[[list[str]], list[bytes]], size: int = CACHED_CHUNKS):
+        self.first, self.later = Kept(name, "", encode, size // 4), Kept(name, " ", encode, size)
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; null counts as empty."""
@@ -97,6 +106,6 @@ def tokenizers_encoder(path: str) -> ChunkEncoder:
     tokenizer = cache[key]
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return ChunkEncoder(key, encode)
+    return ChunkEncoder(key, encode, 3 * CACHED_CHUNKS // 2)
