@@ -94,7 +94,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slots = spark.createDataFrame(list(enumerate(entries)), "slot long, bucket long")
 
     def placed(df: DataFrame) -> DataFrame:
-        slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+        if not depth:
+            return df.withColumn("bucket", F.lit(0).cast("long"))
+        slot = F.shiftrightunsigned("key", 64 - depth)
         return df.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
 
     # Texts of repeated keys, chained within their bucket by their bytes.
