@@ -120,8 +120,8 @@ def lift_gains(t):
 
 
 @query("roc_points", _LOANS + f""",
-    l as (select *, lead(pos) over (order by score desc) as np, lead(neg) over (order by score desc) as nn from c)
-    select {R('cast(cn as double) / nt', 9)} as fpr, {R('cast(cp as double) / pt', 9)} as tpr, {R('score', 9)} as threshold from l where np is null or np <> pos or nn <> neg
+    l as (select *, lead(pos) over (order by score desc) as np, lead(neg) over (order by score desc) as nn, row_number() over (order by score desc) as nth from c)
+    select {R('cast(cn as double) / nt', 9)} as fpr, {R('cast(cp as double) / pt', 9)} as tpr, {R('score', 9)} as threshold from l where nth = 1 or np is null or np <> pos or nn <> neg
     union all select 0.0, 0.0, cast('infinity' as double)
 """)
 def roc_points(t):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import date
 from functools import cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registered.base import query, rounded
 from registered.validation import AS_OF
 from riskframe.config import RULES
 from riskframe.operators import drift, encode, evaluate, explain, rules, training
+from riskframe.operators.ordered import materialize, positions
 from riskframe.plans import cycle, model
 
 ORDER = {"customers": ["row_no"], "loan_applications": ["row_no"]}
@@ -32,11 +34,14 @@ def _numeric_encoder_columns():
     return ["price", "discount", "tax"], ["flag"]
 
 
-def vectors(t, with_key: bool = True):
-    """Line items as encoded vectors with a label that depends on price."""
+def vectors(t):
+    """All line items as encoded vectors with a label that depends on price.  They have
+    no key, and some are equal: their place in an order over all columns is one."""
     num, cat = _numeric_encoder_columns()
-    key = F.xxhash64("price", "discount", "tax", "quantity", "flag", "state", "shipped").alias("id")
-    df = t["feature_rows"].select(key, "price", "discount", "tax", "flag", "y").dropDuplicates(["id"])
+    rows = t["feature_rows"]
+    order = [F.asc_nulls_first(c) for c in rows.columns]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*rows.columns).orderBy("price")))
+    df = materialize(positions(rows, [*order, "nth"]).select(F.col("position").alias("id"), "price", "discount", "tax", "flag", "y"))
     state = encode.fit(df, num, cat, [])
     return encode.with_vector(df, state).select("id", "y", "features"), state
 
@@ -175,7 +180,7 @@ for _name in ("metrics", "segments", "lift", "roc", "pr", "confusion", "calibrat
 def score_batch(t):
     prepared, credit = ready(t)
     out = model.score_rows(prepared.part("test"), credit)
-    return out.select("loan_id", "p", "credit_score", "risk_category", "recommendation", "triggered_rules", "reason", "top_risk_factors",
+    return out.select("loan_id", "status", "p", "credit_score", "risk_category", "recommendation", "triggered_rules", "reason", "top_risk_factors",
                       "top_positive_factors", "base_value", "model_output_value")
 
 

@@ -47,10 +47,7 @@ def risk_band(t):
 # Applicants: the per-loan frame with its ratios and a probability from the loan's own terms.
 def applicants(t):
     df = features.ratio_features(merged(t)).withColumn("p", F.col("interest_rate") / 60.0 * F.col("interest_rate") / 60.0)
-    keep = F.lit(True)
-    for c in score.REQUIRED:
-        keep = keep & F.col(c).isNotNull()
-    return df.where(keep).withColumn("credit_score", score.probability_to_score("p")).select(
+    return df.withColumn("credit_score", score.probability_to_score("p")).select(
         "loan_id", "age", "p", "credit_score", *score.REQUIRED)
 
 
@@ -58,8 +55,11 @@ _APPLY = f"""
     with f as (select m.*, e as proposed_emi, {{DTI}} as post_loan_dti, {{UTIL}} as credit_utilization, {{LTI}} as loan_to_income,
           monthly_income - monthly_expenses - monthly_emi as disposable_income, interest_rate / 60.0 * interest_rate / 60.0 as p
           from (select *, {{EMI}} as e from ({{M}})) m),
-    s as (select *, {_score_sql('p')} as credit_score from f where previous_defaults is not null and employment_years is not null
-          and credit_history_months is not null and disposable_income is not null),
+    s as (select *, case when p is not null then {_score_sql('p')} end as credit_score,
+            concat_ws(',', case when previous_defaults is null then 'previous_defaults' end, case when post_loan_dti is null then 'post_loan_dti' end,
+              case when credit_utilization is null then 'credit_utilization' end, case when employment_years is null then 'employment_years' end,
+              case when loan_to_income is null then 'loan_to_income' end, case when credit_history_months is null then 'credit_history_months' end,
+              case when disposable_income is null then 'disposable_income' end) as lacking from f),
     h as (select *, (case when previous_defaults >= 2 then 1 else 0 end) + (case when post_loan_dti > 0.6 then 1 else 0 end)
             + (case when credit_utilization > 0.95 then 1 else 0 end) + (case when employment_years < 0.5 and loan_to_income > 5 then 1 else 0 end)
             + (case when p > 0.3 then 1 else 0 end) + (case when credit_score <= 549 then 1 else 0 end) as n_reject,
@@ -78,30 +78,32 @@ def _apply_sql(tail: str) -> str:
     return text.replace("{EMI}", _EMI).replace("{M}", MERGED) + tail
 
 
-@query("hard_fails", _apply_sql("select loan_id, age, previous_defaults >= 2 as defaults, post_loan_dti > 0.6 as dti, credit_utilization > 0.95 as util, employment_years < 0.5 and loan_to_income > 5 as thin from h"))
+@query("hard_fails", _apply_sql("select loan_id, age, coalesce(previous_defaults >= 2, false) as defaults, coalesce(post_loan_dti > 0.6, false) as dti, coalesce(credit_utilization > 0.95, false) as util, coalesce(employment_years < 0.5 and loan_to_income > 5, false) as thin from h"))
 def hard_fails(t):
     names = ("defaults", "dti", "util", "thin")
     return applicants(t).select("loan_id", "age", *[c.isNotNull().alias(n) for n, c in zip(names, score.hard_fails())])
 
 
-@query("soft_flags", _apply_sql("select loan_id, age, credit_history_months < 12 as thin_file, post_loan_dti between 0.45 and 0.6 as elevated, disposable_income < 5000 as low_income from h"))
+@query("soft_flags", _apply_sql("select loan_id, age, coalesce(credit_history_months < 12, false) as thin_file, coalesce(post_loan_dti between 0.45 and 0.6, false) as elevated, coalesce(disposable_income < 5000, false) as low_income from h"))
 def soft_flags(t):
     names = ("thin_file", "elevated", "low_income")
     return applicants(t).select("loan_id", "age", *[c.isNotNull().alias(n) for n, c in zip(names, score.soft_flags())])
 
 
 @query("recommend", _apply_sql("""
-    select loan_id, age, credit_score, case when n_reject > 0 then 'REJECT' when n_soft > 0 then 'REVIEW' when ok then 'APPROVE' else 'REVIEW' end as recommendation,
-        cast(case when n_reject > 0 then n_reject when n_soft > 0 then n_soft else 1 end as int) as n_rules,
-        case when n_reject > 0 then 'Rejected' when n_soft > 0 then 'Referred for review' when ok then 'Approved' else 'Referred for review' end as lead from h"""))
+    select loan_id, age, credit_score, case when lacking = '' then 'scored' else 'missing:' || lacking end as status,
+        case when lacking <> '' then null when n_reject > 0 then 'REJECT' when n_soft > 0 then 'REVIEW' when ok then 'APPROVE' else 'REVIEW' end as recommendation,
+        cast(case when lacking <> '' then null when n_reject > 0 then n_reject when n_soft > 0 then n_soft else 1 end as int) as n_rules,
+        case when lacking <> '' then null when n_reject > 0 then 'Rejected' when n_soft > 0 then 'Referred for review' when ok then 'Approved' else 'Referred for review' end as lead from h"""))
 def recommend(t):
-    out = score.recommend(applicants(t), "p", "credit_score", 0.1)
-    return out.select("loan_id", "age", "credit_score", "recommendation", F.size("triggered_rules").alias("n_rules"), F.split("reason", ":")[0].alias("lead"))
+    out = score.recommend(applicants(t), "p", "credit_score", 0.1, missing="mark")
+    rules = F.when(F.col("triggered_rules").isNotNull(), F.size("triggered_rules"))
+    return out.select("loan_id", "age", "credit_score", "status", "recommendation", rules.alias("n_rules"), F.split("reason", ":")[0].alias("lead"))
 
 
 @query("recommend_reasons")
 def recommend_reasons(t):
-    return score.recommend(applicants(t), "p", "credit_score", 0.1).select("loan_id", "recommendation", "triggered_rules", "reason")
+    return score.recommend(applicants(t), "p", "credit_score", 0.1, missing="mark").select("loan_id", "status", "recommendation", "triggered_rules", "reason")
 
 
 @query("display_values", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.config import KEY_COLUMNS
@@ -15,19 +15,23 @@ from riskframe.operators.rules import RowRule, SetRule, Tables
 SCHEMA = "`table` string, record_key string, rule_name string, severity string, detail string"
 
 
+def finding(rule_name: str, severity: str, detail: Column) -> Column:
+    return F.struct(F.lit(rule_name).alias("rule_name"), F.lit(severity).alias("severity"), detail.alias("detail"))
+
+
+def findings(df: DataFrame, rules: list[RowRule]) -> Column:
+    """What the row rules find in each row, as one array column."""
+    found = [F.when(detail.isNotNull(), finding(rule.name, rule.severity, detail)) for rule in rules for detail in rule.details(df)]
+    return compact(found) if found else F.expr("cast(array() as array<struct<rule_name:string,severity:string,detail:string>>)")
+
+
 def row_violations(df: DataFrame, table: str, rules: list[RowRule]) -> DataFrame | None:
     """All row rules of one table in a single pass.  Works on a stream as well."""
-    found = []
-    for rule in rules:
-        for detail in rule.details(df):
-            found.append(F.when(detail.isNotNull(), F.struct(
-                F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), detail.alias("detail"),
-            )))
-    if not found:
+    if not rules:
         return None
     return df.select(
         F.lit(table).alias("table"), record_key(KEY_COLUMNS[table]).alias("record_key"),
-        F.explode(compact(found)).alias("v"),
+        F.explode(findings(df, rules)).alias("v"),
     ).select("table", "record_key", "v.*")
 
 

@@ -219,18 +219,19 @@ def lift_gains(df: DataFrame, y: str, p: str, tie_break: Sequence[str], n_bins:
 
 
 def roc_points(curve: DataFrame, drop_collinear: bool = True) -> DataFrame:
-    """fpr, tpr, threshold from the origin on; inner points of a straight run dropped."""
-    c = _with_totals(curve)
+    """(segments...,) fpr, tpr, threshold from the origin on; points inside a straight
+    run are dropped, the first and the last score always stay."""
+    c, keys = _with_totals(curve), _keys(curve)
     if drop_collinear:
         # A point lies inside a straight run when the next score adds the same counts.
-        after = c.select((F.col("cum_one") - 1).alias("cum_one"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
-        c = c.join(after, "cum_one", "left").where(
-            F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+        after = c.select(*keys, (F.col("cum_one") - 1).alias("cum_one"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
+        c = c.join(after, [*keys, "cum_one"], "left").where(
+            (F.col("cum_one") == 1) | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     points = c.select(
-        _div(F.col("cum_neg"), F.col("N")).alias("fpr"), _div(F.col("cum_pos"), F.col("P")).alias("tpr"),
+        *keys, _div(F.col("cum_neg"), F.col("N")).alias("fpr"), _div(F.col("cum_pos"), F.col("P")).alias("tpr"),
         F.col("score").alias("threshold"))
-    origin = curve.sparkSession.createDataFrame([(0.0, 0.0, float("inf"))], "fpr double, tpr double, threshold double")
-    return origin.unionByName(points)
+    origin = curve.where(F.col("cum_one") == 1).select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    return origin.unionByName(points).drop(ALL)
 
 
 def pr_points(curve: DataFrame) -> DataFrame:

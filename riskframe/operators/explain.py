@@ -135,6 +135,11 @@ def top_factors(all_factors: Column, sign: int, k: int, templates: Column) -> Co
     ))
 
 
+_FACTORS = "array<struct<feature:string,value:string,contribution:double,reason:string>>"
+#: What ``explain`` adds.
+COLUMNS = {"base_value": "double", "model_output_value": "double", "top_risk_factors": _FACTORS, "top_positive_factors": _FACTORS}
+
+
 def explain(df: DataFrame, state: LinearState, encoder: EncoderState, benchmarks: dict[str, dict], k: int = TOP_K_FACTORS) -> DataFrame:
     """Add base_value, model_output_value, top_risk_factors and top_positive_factors."""
     check_coverage(set(encoder.sources().values()))

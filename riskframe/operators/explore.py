@@ -95,25 +95,63 @@ def default_rate_by_band(df: DataFrame, band: str, target: str, order: Sequence[
     return out.orderBy(F.when(place > 0, place).asc_nulls_last())
 
 
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """feature_a, feature_b, n, r of every ordered pair over the rows that have both.
+
+    Each partition multiplies its rows, as matrices, once: k x k sums come out of it,
+    however many rows it has, and they add up.  Values are centred first, so that
+    sums of squares keep their digits.  r is null where either side is constant."""
+    cols = list(columns)
+    data = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = data.agg(*[F.coalesce(F.avg(F.when(F.abs(c) < float("inf"), F.col(c))), F.lit(0.0)) for c in data.columns]).first()
+    centre, k = list(means), len(cols)
+
+    # A nested function travels with its code, so executors need no copy of this package.
+    def gram(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = np.zeros((4, k, k))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        rows = 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                rows += part.num_rows
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                has = ~np.isnan(x)
+                x = np.where(has, x - centre, 0.0)
+                m = has.astype(float)
+                sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+                for j in range(k):
+                    both = has & has[:, j:j + 1]
+                    low[:, j] = np.minimum(low[:, j], np.where(both, x, np.inf).min(axis=0))
+                    high[:, j] = np.maximum(high[:, j], np.where(both, x, -np.inf).max(axis=0))
+        if rows:
+            i, j = np.divmod(np.arange(k * k), k)
+            values = [i, j, *(s.ravel() for s in sums), low.ravel(), high.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["i", "j", "n", "x", "xx", "xy", "low", "high"])
+
+    parts = data.mapInArrow(gram, "i long, j long, n double, x double, xx double, xy double, low double, high double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")], F.min("low").alias("low"), F.max("high").alias("high"))
+    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    n, spread = F.col("n"), lambda a, aa: F.col(aa) - F.col(a) * F.col(a) / F.col("n")
+    varies = (F.col("high") > F.col("low")) & (F.col("y_high") > F.col("y_low"))
+    r = F.when(varies, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread("x", "xx") * spread("y", "yy")))
+    label = F.array(*[F.lit(c) for c in cols])
+    return total.join(other, ["i", "j"]).select(
+        "i", "j", F.get(label, F.col("i").cast("int")).alias("feature_a"), F.get(label, F.col("j").cast("int")).alias("feature_b"), n.cast("long").alias("n"), r.alias("r"))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations in long form, i < j."""
-    items = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _corr(number(a), number(b)).alias("r"))
-        for i, a in enumerate(columns) for b in columns[i + 1:]
-    ]
-    return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
+    return pair_moments(df, columns).where("i < j").select("feature_a", "feature_b", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per feature, one column per feature."""
-    half = correlations(df, columns)
-    whole = half.unionByName(half.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r"))
-    items = [F.struct(F.lit(c).alias("feature_a"), F.lit(c).alias("feature_b"), _corr(number(c), number(c)).alias("r")) for c in columns]
-    diagonal = df.agg(F.array(*items).alias("a")).select(F.inline("a"))
-    return (
-        whole.unionByName(diagonal).groupBy(F.col("feature_a").alias("feature"))
-        .pivot("feature_b", list(columns)).agg(F.first("r"))
-    )
+    pairs = pair_moments(df, columns)
+    return pairs.groupBy(F.col("feature_a").alias("feature")).pivot("feature_b", list(columns)).agg(F.first("r"))
 
 
 def high_correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.8) -> DataFrame:

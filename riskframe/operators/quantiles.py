@@ -1,9 +1,9 @@
 """Exact linear-interpolation quantiles of whole columns.
 
 Columns with few distinct values (checked first) use the built-in exact
-``percentile``.  Above that its hash map of values would outgrow one task, so a
-sketch brackets every wanted quantile, rows outside the brackets only add to a few counters, and the distinct
-values inside are ranked with distributed running sums.  The ranks are verified
+``percentile``.  Above that the maps of values of all partitions would meet in one
+task, so a sketch brackets every wanted quantile, rows outside the brackets only add
+to a few counters, and the distinct values inside are ranked with distributed running sums.  The ranks are verified
 against exact counts; a bracket that missed its rank falls back to the whole
 column, so the result is exact either way.
 """
@@ -21,8 +21,8 @@ from riskframe.functions.exprs import number
 from riskframe.operators.ordered import running_sums
 
 # Up to about this many distinct values the built-in exact percentile is used, however
-# many rows there are; above it the bracketed way is also the faster one.
-SMALL_COLUMN = 100_000
+# many rows there are: each partition hands its map of values to one task.
+SMALL_COLUMN = 500
 # Relative rank error of the sketch is 1 / ACCURACY; brackets reach 3 / ACCURACY around a quantile.
 ACCURACY = 2_000
 

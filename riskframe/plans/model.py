@@ -122,23 +122,17 @@ def test_report(prepared: Prepared, credit: CreditModel) -> dict[str, DataFrame]
     }
 
 
-def score_rows(frame: DataFrame, credit: CreditModel, policy: dict = POLICY, k: int = TOP_K_FACTORS) -> DataFrame:
-    """Feature rows with probability, score, band, decision, rules and reasons."""
+def score_rows(frame: DataFrame, credit: CreditModel, policy: dict = POLICY, k: int = TOP_K_FACTORS, missing: str = "mark") -> DataFrame:
+    """Every feature row with probability, score, band, decision, rules and reasons.
+    Rows without a required feature keep probability and score, have no decision, and
+    say so in ``status``; ``missing="raise"`` makes them fail the job instead.
+    Reasons need a linear model; for others their columns are null."""
     out = credit.probabilities(frame)
     out = out.withColumn("credit_score", score.probability_to_score("p"))
     out = out.withColumn("risk_category", score.categorize("credit_score"))
-    ready = F.lit(True)
-    for c in score.REQUIRED:
-        ready = ready & F.col(c).isNotNull()
-    out = score.recommend(out.where(ready), "p", "credit_score", credit.threshold, policy)
+    out = score.recommend(out, "p", "credit_score", credit.threshold, policy, missing)
+    if missing == "raise":
+        out = out.withColumn("status", F.lit("scored"))
     if credit.linear is None:
-        return out
+        return out.withColumns({c: F.lit(None).cast(t) for c, t in explain.COLUMNS.items()})
     return explain.explain(out, credit.linear, credit.encoder, credit.benchmarks, k)
-
-
-def unscorable(frame: DataFrame) -> DataFrame:
-    """Rows a decision cannot be made for, because a required feature is missing."""
-    missing = F.lit(False)
-    for c in score.REQUIRED:
-        missing = missing | F.col(c).isNull()
-    return frame.where(missing)

@@ -73,8 +73,20 @@ def test_thresholds(spark):
 
 def test_roc_drops_collinear_points(spark):
     curve = evaluate.score_curve(scored(spark, [1, 1, 0, 0], [0.9, 0.8, 0.3, 0.2]), "y", "p")
-    assert sorted((r.fpr, r.tpr) for r in evaluate.roc_points(curve).collect()) == [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+    assert sorted((r.fpr, r.tpr) for r in evaluate.roc_points(curve).collect()) == [(0.0, 0.0), (0.0, 0.5), (0.0, 1.0), (1.0, 1.0)]
     assert evaluate.roc_points(curve, False).count() == 5
+    curve = evaluate.score_curve(scored(spark, [1, 1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6, 0.5]), "y", "p")
+    assert (0.0, pytest.approx(1 / 3), 0.9) in [(r.fpr, r.tpr, r.threshold) for r in evaluate.roc_points(curve).collect()]
+
+
+def test_roc_of_segments_is_that_of_each_segment(spark):
+    a = [(1, 0.9), (0, 0.8), (0, 0.7), (1, 0.6), (1, 0.5)]
+    b = [(0, 0.9), (1, 0.8), (1, 0.75), (1, 0.7)]
+    both = spark.createDataFrame([("a", *r) for r in a] + [("b", *r) for r in b], "k string, y int, p double")
+    got = evaluate.roc_points(evaluate.score_curve(both, "y", "p", ["k"])).collect()
+    for k, rows in (("a", a), ("b", b)):
+        alone = evaluate.roc_points(evaluate.score_curve(scored(spark, [y for y, _ in rows], [p for _, p in rows]), "y", "p")).collect()
+        assert sorted((r.fpr, r.tpr, r.threshold) for r in got if r.k == k) == sorted(map(tuple, alone))
 
 
 def test_calibration_of_perfect_scores(spark):

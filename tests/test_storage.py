@@ -99,8 +99,11 @@ def test_whole_chain_and_cycle(spark, inputs, tmp_path):
     assert set(prepared.clean.medians) <= set(CLEANING["impute_numeric"])
     scored = model.score_rows(prepared.part("test"), credit)
     rows = scored.collect()
-    assert len(rows) + model.unscorable(prepared.part("test")).count() == prepared.part("test").count()
-    assert all(300 <= r.credit_score <= 900 and r.recommendation in ("APPROVE", "REVIEW", "REJECT") for r in rows)
+    assert len(rows) == prepared.part("test").count()
+    assert all(300 <= r.credit_score <= 900 for r in rows)
+    assert all((r.recommendation in ("APPROVE", "REVIEW", "REJECT")) == (r.status == "scored") for r in rows)
+    lacking = model.score_rows(prepared.part("test").limit(5).withColumn("previous_defaults", F.lit(None).cast("int")), credit).collect()
+    assert len(lacking) == 5 and all("previous_defaults" in r.status and r.recommendation is None and r.reason is None and r.credit_score for r in lacking)
     assert all(len(r.top_risk_factors) <= 5 and all(f.reason.endswith(".") for f in r.top_risk_factors) for r in rows)
     tables.save_explainer(spark, credit, "m", str(tmp_path))
     background, bench, linear = tables.load_explainer(spark, "m", str(tmp_path))
