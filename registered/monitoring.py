@@ -210,7 +210,7 @@ def cats(t):
 
 @query("categorical_psi", _CATS + f"""
     select feature, {R('sum((greatest(n / total, 1e-6) - greatest(e, 1e-6)) * ln(greatest(n / total, 1e-6) / greatest(e, 1e-6)))')} as psi,
-        coalesce(list(value order by value) filter (where is_new), []) as new_categories from j group by feature
+        count(*) filter (where is_new) as n_new, first(value order by n desc, value) filter (where is_new) as new_example from j group by feature
 """)
 def categorical_psi(t):
     shares, now = cats(t)
@@ -225,11 +225,13 @@ def new_categories(t):
 
 @query("chi_square", _CATS + f""",
     x as (select *, greatest(e * total, 1e-6) as raw from j), y as (select *, raw * total / sum(raw) over (partition by feature) as ex from x)
-    select feature, {R('sum((n - ex) * (n - ex) / ex)', 2)} as statistic, count(*) - 1 as dof, coalesce(list(value order by value) filter (where is_new), []) as new_categories from y where feature = 'o_orderpriority' group by feature
+    select feature, {R('ln(1 + sum((n - ex) * (n - ex) / ex))')} as ln_statistic, count(*) - 1 as dof,
+        count(*) filter (where is_new) as n_new, first(value order by n desc, value) filter (where is_new) as new_example from y group by feature
 """)
 def chi_square(t):
+    """A new category makes the statistic huge, so its logarithm is compared."""
     shares, now = cats(t)
-    return rounded(drift.chi_square(now, shares).where("feature = 'o_orderpriority'"), 2)
+    return rounded(drift.chi_square(now, shares).select("feature", F.log1p("statistic").alias("ln_statistic"), "dof", "n_new", "new_example"))
 
 
 def _ks_sql(c):

@@ -61,7 +61,7 @@ def upsert(t):
     changed = now.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("Z"))
     new = now.where("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
     tables.upsert_table(t.spark, path, changed.unionByName(new), ["o_orderkey"])
-    return t.spark.read.parquet(path)
+    return tables.read_current(t.spark, path)
 
 
 @query("truncate_and_reload", "select o_orderkey, o_custkey from {orders}")

@@ -164,16 +164,19 @@ def category_table(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFr
 
 
 def categorical_psi(df: DataFrame, shares: dict[str, dict[str, float]], epsilon: float = MONITORING["epsilon"]) -> DataFrame:
-    """feature, psi, new_categories."""
+    """feature, psi, n_new, new_example: how many categories the baseline never saw,
+    and the most frequent of them (``new_categories`` has them all, as rows)."""
     t = category_table(df, shares)
-    return t.groupBy("feature").agg(
-        F.sum(psi_term(F.col("expected"), F.col("n") / F.col("total"), epsilon)).alias("psi"),
-        F.sort_array(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
-    )
+    return t.groupBy("feature").agg(F.sum(psi_term(F.col("expected"), F.col("n") / F.col("total"), epsilon)).alias("psi"), *_new())
+
+
+def _new() -> list[Column]:
+    """Number of new categories, and the most frequent one (the first of equals)."""
+    return [F.count_if("is_new").alias("n_new"), F.min(F.when(F.col("is_new"), F.struct((-F.col("n")).alias("n"), "value")))["value"].alias("new_example")]
 
 
 def chi_square(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
-    """feature, statistic, dof, new_categories of the goodness-of-fit test."""
+    """feature, statistic, dof, n_new, new_example of the goodness-of-fit test."""
     t = category_table(df, shares)
     weight = t.groupBy("feature").agg(F.sum("expected").alias("w"))
     floor = F.greatest(F.col("expected") / F.col("w") * F.col("total"), F.lit(1e-6))
@@ -181,9 +184,7 @@ def chi_square(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
     scale = t.groupBy("feature").agg((F.sum("n") / F.sum("e")).alias("scale"))
     e = F.col("e") * F.col("scale")
     return t.join(scale, "feature").groupBy("feature").agg(
-        F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("statistic"), (F.count("*") - 1).alias("dof"),
-        F.sort_array(F.collect_set(F.when(F.col("is_new"), F.col("value")))).alias("new_categories"),
-    )
+        F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("statistic"), (F.count("*") - 1).alias("dof"), *_new())
 
 
 def ks_statistics(baseline: DataFrame, current: DataFrame, columns: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
@@ -243,12 +244,11 @@ def feature_drift(baseline: Baseline, sample: DataFrame, current: DataFrame, set
     shares = {c: m for c, m in baseline.categorical.items() if c in current.columns}
     if shares:
         for r in categorical_psi(current, shares, eps).collect():
-            new = list(r.new_categories)
-            rows.append((r.feature, "psi", 0.0, r.psi, r.psi, "DRIFT" if new else status(r.psi),
-                         f"new categories not seen in training: {new}" if new else ""))
+            rows.append((r.feature, "psi", 0.0, r.psi, r.psi, "DRIFT" if r.n_new else status(r.psi),
+                         f"{r.n_new} categories not seen in training, such as {r.new_example}" if r.n_new else ""))
         for r in chi_square(current, shares).collect():
             p = chi2_p(r.statistic, r.dof)
-            bad = (not math.isnan(p) and p < alpha) or bool(r.new_categories)
+            bad = (not math.isnan(p) and p < alpha) or r.n_new > 0
             rows.append((r.feature, "chi_square", 0.0, r.statistic, r.statistic, "DRIFT" if bad else "OK", f"p_value={p:.4g}"))
     return spark.createDataFrame(rows, FINDINGS)
 

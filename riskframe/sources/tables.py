@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -11,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.operators.ordered import materialize
-
 TABLES = ["customers", "loan_applications", "financial_profiles", "credit_history", "loan_outcomes"]
 
 
@@ -96,11 +95,34 @@ def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFr
     return kept.unionByName(changes, allowMissingColumns=True).select(*current.columns)
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of an upserted table; a plain parquet folder is
+    the version before the first upsert."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}" if versions else path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the versions written so far, oldest first (one row each)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("nth long, folder string").parquet(f"{path}/versions").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [r.folder for r in sorted(rows, key=lambda r: r.nth)]
+
+
 def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: Sequence[str]) -> None:
-    """Upsert into a parquet folder: the merged table is written aside before the
-    old files are replaced."""
-    merged = materialize(upsert(spark.read.parquet(path), changes, key))
-    merged.write.mode("overwrite").parquet(path)
+    """Upsert into a table: the merged rows are a new version beside the old one, and
+    one small file then names it.  A failure at any point leaves the old version
+    current, and readers of it undisturbed.  One writer at a time."""
+    merged, nth = upsert(read_current(spark, path), changes, key), len(_versions(spark, path))
+    folder = f"data-{nth:06d}-{uuid.uuid4().hex}"
+    merged.write.parquet(f"{path}/{folder}")
+    spark.createDataFrame([(nth, folder)], "nth long, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
 def merge_metrics(registry: DataFrame, model_id: str, patch: dict[str, float]) -> DataFrame:

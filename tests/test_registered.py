@@ -1,5 +1,6 @@
 """Registered queries: names, SQL and a few plans."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -56,3 +57,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan
     plan = entry.queries()["default_rate_by_band"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_library_works_without_the_training_data_subpackage(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=False).returncode == 0

@@ -28,7 +28,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
     change = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
     for _ in range(2):
         tables.upsert_table(spark, path, change, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    old = tables.read_current(spark, path)
+    assert sorted(map(tuple, old.collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    tables.upsert_table(spark, path, spark.createDataFrame([(9, "z")], "k int, v string"), ["k"])
+    assert old.count() == 3 and tables.read_current(spark, path).count() == 4
 
 
 def test_feature_sink_refuses_missing_values(spark, tmp_path):

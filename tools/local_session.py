@@ -13,6 +13,7 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskframe-check-"))
         .getOrCreate()
