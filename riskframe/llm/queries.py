@@ -80,6 +80,22 @@ def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 200) s from (select doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) i from d)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) n from w) where n > 1),
+edge as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 100, -1) as fresh from later),
+run as (select doc_id, i, sum(case when fresh then 1 else 0 end) over (partition by doc_id order by i) k from edge),
+gone as (select doc_id, k, min(i) a, max(i) + 100 b from run group by doc_id, k),
+part as (select doc_id, k, a, b, coalesce(lag(b) over (partition by doc_id order by k), 0) since from gone),
+total as (select doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) rest, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by k) kept
+  from part join d using (doc_id) group by doc_id)
+select d.doc_id, length(h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) kept_sha256
+from d left join total using (doc_id)
+"""
+
+
 def new_ledger(spark: SparkSession) -> str:
     """Place of a ledger that starts empty, in the shared folder."""
     return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
@@ -145,4 +161,9 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-CHECKS = {"op6_lattice_dedup": OP6_SQL, "op5_exact_dedup": OP5_SQL, "op8_secret_scan": OP8_SQL}
+CHECKS = {
+    "op5_exact_dedup": OP5_SQL,
+    "op6_lattice_dedup": OP6_SQL,
+    "op7_passages": OP7_SQL,
+    "op8_secret_scan": OP8_SQL,
+}
