@@ -124,6 +124,21 @@ def test_blocked_neighbours_equal_brute_force(spark):
         assert np.allclose([[got[i][k] for k in (1, 2, 3)] for i in range(len(xy))], want, atol=1e-6)
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_numbers": 0, "block_rows": 40}])
+def test_neighbours_of_large_values_and_ties(spark, limits):
+    """Differences, not products, give distances; of equal ones the smaller ids stay."""
+    rows = [(i, 5e6 + 1e-3 * (i % 7), 4e6 + 1e-3 * (i // 30)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    got = {}
+    for r in k_nearest(df, df, ["a", "b"], 3, **limits).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance))
+    x = np.array([r[1:] for r in rows])
+    for i in range(150):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = sorted((round(v, 9), j) for j, v in enumerate(d) if j != i)[:3]
+        assert [(round(v, 9), j) for _, j, v in sorted(got[i])] == want
+
+
 def test_smote_balances_and_stays_between_neighbours(spark):
     xy, df = _points(spark)
     out = smote(df, ["a", "b"], "y", "id", k=5).collect()
