@@ -1,21 +1,22 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-A pre-token starts as single bytes in a linked list.  Each neighbouring pair that
-has a rank is put into the bucket of that rank, which holds positions of the list.
-A bitmap over ranks, with a summary bit per 64 bits on each level above it, tells
-the lowest rank whose bucket has entries by find-first-set on three words.  A
+Pre-tokens start as single bytes in a linked list; many of them share one list and
+one queue, since parts of different pre-tokens are never neighbours in it.  Each
+neighbouring pair that has a rank is put into the bucket of that rank, which holds
+positions of the list.  A bitmap over ranks with a summary bit for each of its words
+tells the lowest rank whose bucket has entries by two find-first-set operations.  A
 merge changes the pairs of its two neighbours; their old entries stay and are
-skipped as stale when they come up.  The work is n log n for a pre-token of n
-bytes, however long.
+skipped as stale when they come up.  The work is n log n for n bytes, however long a
+pre-token is.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,106 +25,135 @@ from pyspark.sql import functions as F
 from riskframe.llm.chunks import ChunkEncoder, windows
 from riskframe.llm.common import process_cache
 
+#: Bits of a bitmap word, and the shift that gives a rank's word.
+SHIFT = 8
+WORD = 1 << SHIFT
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions in buckets by rank; ``pop`` gives the lowest rank, and of its
-    positions the leftmost."""
-
-    def __init__(self, ranks: int):
-        self.leaf = [0] * (ranks // 64 + 1)
-        self.middle = [0] * (len(self.leaf) // 64 + 1)
-        self.root = 0  # one bit per middle word
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            i, j = rank >> 6, rank >> 12
-            self.leaf[i] |= 1 << (rank & 63)
-            self.middle[j] |= 1 << (i & 63)
-            self.root |= 1 << j
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        j = (self.root & -self.root).bit_length() - 1
-        word = self.middle[j]
-        i = (j << 6) + (word & -word).bit_length() - 1
-        word = self.leaf[i]
-        bit = word & -word
-        rank = (i << 6) + bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[i] = word = word ^ bit
-            if not word:
-                self.middle[j] ^= 1 << (i & 63)
-                if not self.middle[j]:
-                    self.root ^= 1 << j
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return self.root != 0
-
-
 class Bpe:
     """Encoder and decoder over a table of merge ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocabulary = {rank: token for token, rank in ranks.items()}
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-
-    def merge(self, token: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(token)
-        if whole is not None:
-            return [whole]
-        n, rank_of, queue = len(token), self.ranks.get, self.queue
-        after = list(range(1, n + 2))  # start of the next part; n is the end
-        before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the part at a position with its next one
-        for i in range(n - 1):
-            r = rank_of(token[i:i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while queue:
-            r, i = queue.pop()
-            if pair[i] != r:
-                continue
-            gone = after[i]
-            end = after[gone]
-            after[i], pair[gone] = end, -1
-            if end < n:
-                before[end] = i
-                r = rank_of(token[i:after[end]])
-                pair[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            left = before[i]
-            if left >= 0:
-                r = rank_of(token[left:end])
-                pair[left] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, left)
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[token[i:after[i]]])
-            i = after[i]
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        return [i for t in self.pattern.findall(text) for i in self.merge(t.encode("utf-8"))]
+        self.size = max(ranks.values(), default=0) + 1
+        # What two neighbours with these ranks merge to, and the same for single bytes.
+        self.pairs = {
+            ranks[token[:i]] * self.size + ranks[token[i:]]: rank
+            for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks}
+        self.bytes = np.array([ranks.get(bytes((i,)), -1) for i in range(256)])
+        self.two = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
+
+    def merge(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of each of the (not empty) pre-tokens, as little-endian unsigned 32 bits.
+        In a pre-token the lowest rank is merged first, and of equal ranks the leftmost."""
+        data = np.frombuffer(b"".join(tokens), dtype=np.uint8).astype(np.int64)
+        n = len(data)
+        if not n:
+            return []
+        sizes = np.array([len(t) for t in tokens])
+        ends = np.cumsum(sizes)
+        own = self.bytes[data]
+        if (own < 0).any():
+            raise ValueError("a byte has no rank")
+        first = np.full(n, -1)
+        first[:-1] = self.two[data[:-1] << 8 | data[1:]]
+        first[ends - 1] = -1
+        part, pair, size, merged = own.tolist(), first.tolist(), self.size, self.pairs.get
+        # Neighbours in the list; -1 beyond the ends of a pre-token.
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - sizes] = -1, -1
+        after, before = after.tolist(), before.tolist()
+
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0):]
+        found, starts = np.unique(first[order], return_index=True)
+        order = order.tolist()
+        buckets = {r: order[a:b] for r, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)])}
+        words, summary = [0] * ((size >> SHIFT) + 1), 0
+        for r in buckets:
+            words[r >> SHIFT] |= 1 << (r & WORD - 1)
+            summary |= 1 << (r >> SHIFT)
+
+        while summary:
+            # Find first set, twice.
+            w = (summary & -summary).bit_length() - 1
+            word = words[w]
+            r = (w << SHIFT) + (word & -word).bit_length() - 1
+            words[w] = word = word & word - 1
+            if not word:
+                summary &= summary - 1
+            bucket = buckets.pop(r)
+            bucket.sort()
+            for nth, i in enumerate(bucket):
+                if pair[i] != r:
+                    continue  # stale
+                gone = after[i]
+                end = after[i] = after[gone]
+                part[i], part[gone], pair[gone] = r, -1, -1
+                left, lowest = before[i], size
+                if end >= 0:
+                    before[end] = i
+                    q = merged(r * size + part[end])
+                    if q is None:
+                        pair[i] = -1
+                    else:
+                        pair[i], lowest = q, q
+                        if q in buckets:
+                            buckets[q].append(i)
+                        else:
+                            buckets[q] = [i]
+                            words[q >> SHIFT] |= 1 << (q & WORD - 1)
+                            summary |= 1 << (q >> SHIFT)
+                else:
+                    pair[i] = -1
+                if left >= 0:
+                    q = merged(part[left] * size + r)
+                    if q is None:
+                        pair[left] = -1
+                    else:
+                        pair[left], lowest = q, min(lowest, q)
+                        if q in buckets:
+                            buckets[q].append(left)
+                        else:
+                            buckets[q] = [left]
+                            words[q >> SHIFT] |= 1 << (q & WORD - 1)
+                            summary |= 1 << (q >> SHIFT)
+                if lowest <= r:  # a new pair comes before the rest of this bucket
+                    buckets[r] = buckets.get(r, []) + bucket[nth + 1:]
+                    words[w] |= 1 << (r & WORD - 1)
+                    summary |= 1 << w
+                    break
+        ids = np.array(part)
+        alive = ids >= 0
+        out = ids[alive].astype("<u4").tobytes()
+        cut = [0, *(4 * np.cumsum(np.add.reduceat(alive.astype(np.int64), ends - sizes))).tolist()]
+        return [out[a:b] for a, b in zip(cut, cut[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a match of the pattern that is a token is not merged."""
+        known: dict[str, bytes] = {}
+        todo: dict[str, bytes] = {}
+        cut = []
+        for text in texts:
+            # One match of letters needs no pattern.
+            letters = text[1:].isalpha() and (text[0] == " " or text[0].isalpha())
+            cut.append([text] if letters else self.pattern.findall(text))
+            for t in cut[-1]:
+                if t not in known and t not in todo:
+                    token = t.encode("utf-8")
+                    rank = self.ranks.get(token)
+                    if rank is None:
+                        todo[t] = token
+                    else:
+                        known[t] = struct.pack("<I", rank)
+        known.update(zip(todo, self.merge(list(todo.values()))))
+        return [known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c)) for c in cut]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -145,13 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     that has no rank is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(ranks_path, pattern)
-
-        def ids(chunks: list[str]) -> list[bytes]:
-            found = map(bpe.encode, chunks)
-            return [struct.pack(f"<{len(x)}I", *x) for x in found]
-
-        encoder = ChunkEncoder(f"ids {ranks_path} {pattern}", ids)
+        encoder = ChunkEncoder(f"ids {ranks_path} {pattern}", _bpe(ranks_path, pattern).encode)
         for batch in batches:
             at = 0
             for texts in windows(batch.column(1).to_pylist()):
@@ -167,8 +191,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns and ``decoded``, the bytes of the ids.  Null ids give null; an id
     outside the table is an error."""
-    import numpy as np
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
         for batch in batches:
