@@ -27,7 +27,7 @@ SAMPLE_TOXIC, SAMPLE_OTHER = 2500, 5000
 GRADES = 4
 #: A word is a feature if this many texts of the sample have it, and its share among
 #: toxic texts is above that among the others by so many standard errors.
-LEAST_TEXTS, LEAST_Z = 10, 5.0
+LEAST_TEXTS, LEAST_Z = 5, 4.0
 STEPS, RATE, PENALTY = 300, 0.1, 1e-4
 
 #: Letters of the beginnings of words, which stand for the word's inflections.
