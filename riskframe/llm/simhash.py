@@ -273,9 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(owner, ["fp", "check"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def check_limit(similarity: float) -> int:
+def check_limit(similarity: float, deviations: float = 2) -> int:
     """Bits of CHECK_BITS in which fingerprints of shingle sets with this Jaccard
-    similarity differ, two standard deviations above the mean: the share of bits is
-    the angle between the sets over pi."""
+    similarity differ, so many standard deviations above the mean: the share of bits
+    is the angle between the sets over pi."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(CHECK_BITS * share + 2 * math.sqrt(CHECK_BITS * share * (1 - share)))
+    return round(CHECK_BITS * share + deviations * math.sqrt(CHECK_BITS * share * (1 - share)))
