@@ -92,9 +92,10 @@ def class_weights(t):
 
 @query("random_search")
 def random_search(t):
+    """Every family, by the configured draws, folds and grids."""
     df, _ = vectors(t)
-    found = training.random_search(df, "logistic_regression", "y", ["id"], n_iter=3, folds=3, grid={"C": [0.01, 1.0, 100.0], "penalty": ["l2"]})
-    return t.spark.createDataFrame([(found.family, str(found.params), found.cv_score)], "family string, params string, cv_score double")
+    found = [training.random_search(df, family, "y", ["id"]) for family in training.FAMILIES]
+    return t.spark.createDataFrame([(f.family, str(f.params), f.cv_score) for f in found], "family string, params string, cv_score double")
 
 
 @query("cross_validated_metrics")
@@ -141,9 +142,10 @@ def smote_tomek(t):
 
 @query("imbalance_grid")
 def imbalance_grid(t):
+    """All families by all configured strategies."""
     df, _ = vectors(t)
     a, b = halves(df)
-    return training.imbalance_grid(a, b, {"logistic_regression": {"max_iter": 20}}, "y", "id", ["none", "class_weight", "random_undersampling"])
+    return training.imbalance_grid(a, b, {family: {} for family in training.FAMILIES}, "y", "id")
 
 
 @query("calibrate")
