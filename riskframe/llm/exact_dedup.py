@@ -3,9 +3,10 @@
 Every text, white space deleted, gets a 64-bit key.  The leading bits of the key
 name its bucket: a directory of 2^depth entries starts with one bucket, and a
 bucket with more distinct keys than its capacity is split by its next bit, the
-directory doubling when it has no bit left.  A bucket is a range of keys, and the
-tasks that own the ranges chain the entries of equal keys: an entry is one text,
-found by comparing all its bytes, so colliding keys stay apart.
+directory doubling when it has no bit left.  An entry is one text, found by comparing
+all its bytes, so colliding keys stay apart.  The directory names buckets but places
+no rows: bucket, key and text are grouped by hash, so that a crowded bucket or key is
+spread over tasks and combined before the shuffle.
 
 Only keys that occur more than once meet their texts again.  That join is salted
 and equal texts are combined before they are shuffled, so a group of copies that
