@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, embed_dedup, exact_dedup, language, packing, passages, secret_ledger, simhash, token_counts, toxicity
+from riskframe.llm import (
+    bpe, decontaminate, embed_dedup, exact_dedup, infill, language, packing, passages, secret_ledger, simhash, source_audit, token_counts, toxicity,
+)
 from riskframe.llm.common import table
 from riskframe.operators.ordered import shared_dir
 
@@ -149,6 +151,80 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.divergences(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+with d as (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents
+), g as (select distinct lang, source from d),
+c as (select r, lang, source, term, count(*) n from (select r, lang, source, unnest(w) term from d) group by all),
+kept as (select lang, term, sum(n)::hugeint total from c group by all having count(*) >= 3),
+size as (select lang, count(*)::hugeint v, sum(total)::hugeint lang_n from kept group by all),
+n as (select lang, source, term, sum(n)::hugeint n from c semi join kept using (lang, term) group by all),
+gn as (select lang, source, coalesce(sum(n), 0)::hugeint group_n from g left join n using (lang, source) group by all),
+p as (
+  select lang, source, term, coalesce(n, 0) n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (group_n + v) p, 1 + 1000000000::hugeint * (total + 1) // (lang_n + v) ql
+  from gn join kept using (lang) join size using (lang) left join n using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, 'pair' part, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) s from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(s, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs q on q.lang = a.lang and q.source = a.source and q.item = b.source
+  union all select lang, source, 'term', term, ((p - ql) * (p - ql) // ql)::bigint from p where n > 0 and p > ql
+)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every) where part = 'pair' or rank <= 200
+"""
+
+
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct coalesce(item_id::varchar, '') item, least(len(w), 10) l, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') t
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) s from b where len(w) > 0)),
+spot as (select doc_id, s, l, array_to_string(w[s:s + l - 1], ' ') t from (
+  select doc_id, w, l, unnest(range(1, len(w) - l + 2)) s from d, (select distinct l from win) where len(w) >= l)),
+occ as (select doc_id, s, l, item from spot join win using (l, t)),
+hit as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(s, s + l)) k from (select distinct doc_id, s, l from occ)) group by doc_id),
+held as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from occ) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hit using (doc_id) left join held using (doc_id)
+"""
+
+
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transform(table(spark, folder, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = """
+with t as (select doc_id, coalesce(text, '') t, length(coalesce(text, ''))::bigint n, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+h as (select *, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from t),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form
+  from h
+)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    else '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) end) output_sha256,
+  sha256(t) restored_sha256
+from c
+"""
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_pack": op2_pack,
@@ -160,10 +236,16 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_infill": op13_infill,
 }
 CHECKS = {
     "op5_exact_dedup": OP5_SQL,
     "op6_lattice_dedup": OP6_SQL,
     "op7_passages": OP7_SQL,
     "op8_secret_scan": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_decontaminate": OP12_SQL,
+    "op13_infill": OP13_SQL,
 }
