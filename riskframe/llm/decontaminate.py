@@ -69,13 +69,17 @@ def matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], few: bool) -
     ``few``: the shingles may be sent to all tasks."""
     found = None
     for size in sizes:
-        rows = docs.withColumn("part", _shingles("w", size)).where(F.size("w") >= size)
-        rows = rows.select("id", "th", F.size("w").alias("n_words"), F.posexplode("part").alias("pos", "row"))
+        # Only narrow columns go along with each exploded row.  An outer explode infers no
+        # filter on the array's size, which would split each text once more.
+        rows = docs.select("id", "th", F.coalesce(F.size("w"), F.lit(0)).alias("n_words"), _shingles("w", size).alias("part"))
+        rows = rows.select("id", "th", "n_words", F.posexplode_outer("part").alias("pos", "row"))
         rows = rows.where(F.col("pos") <= F.col("n_words") - size)
         rows = rows.withColumn("h", F.xxhash64(*[F.col(f"row.w{i}") for i in range(size)]))
         of_size = shingles.where(F.col("size") == size).select("sid", "h", "shingle")
         of_size = F.broadcast(of_size) if few else of_size
-        hit = rows.join(of_size, "h").where(_joined("row", size) == F.col("shingle")).select("id", "th", "n_words", "pos", "sid")
+        # Texts are compared where hashes meet, not for every row as a join key would be.
+        same = F.nullif(_joined("row", size), F.col("shingle")).isNull()
+        hit = rows.join(of_size, "h").where(same).select("id", "th", "n_words", "pos", "sid")
         found = hit if found is None else found.unionByName(hit)
     return found.distinct()
 

@@ -59,7 +59,7 @@ def _counted(batch: pa.RecordBatch) -> pa.Table:
     """lang, source, term, n, docs of a few texts.  A row with a null term counts the
     documents of its group."""
     groups = pa.table({"lang": batch.column("lang"), "source": batch.column("source")})
-    lists = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").cast(pa.large_string())), BETWEEN)
+    lists = pc.split_pattern_regex(pc.ascii_lower(batch.column("text")), BETWEEN)
     owner = pc.list_parent_indices(lists)
     terms = pc.list_flatten(lists)
     real = pc.greater(pc.binary_length(terms), 0)
@@ -67,7 +67,7 @@ def _counted(batch: pa.RecordBatch) -> pa.Table:
     per_doc = pa.table({"owner": owner, "code": codes.indices}).group_by(["owner", "code"]).aggregate([([], "count_all")])
     rows = groups.take(per_doc["owner"]).append_column("code", per_doc["code"]).append_column("n", per_doc["count_all"])
     rows = rows.group_by(["lang", "source", "code"]).aggregate([("n", "sum"), ([], "count_all")])
-    term = codes.dictionary.take(rows["code"].combine_chunks()).cast(pa.string())
+    term = codes.dictionary.take(rows["code"].combine_chunks())
     found = pa.table({"lang": rows["lang"], "source": rows["source"], "term": term, "n": rows["n_sum"], "docs": rows["count_all"]})
     docs = groups.group_by(["lang", "source"]).aggregate([([], "count_all")])
     none = pa.nulls(docs.num_rows, pa.string())
