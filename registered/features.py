@@ -261,20 +261,37 @@ def impute_scale(t):
     with n as (select count(*) as total from {loan_applications}),
     x as (select loan_id, loan_amount, coalesce(loan_purpose, 'UNKNOWN') as v from {loan_applications}),
     freq as (select v, count(*) >= 0.105 * (select total from n) as kept from x group by v)
-    select loan_id, loan_amount, cast(sum(case when kept then 1 else 0 end) as double) as kept_columns,
-           cast(sum(case when kept then 0 else 1 end) as double) as infrequent_column
-    from x join freq on x.v = freq.v group by loan_id, loan_amount
+    select loan_id, loan_amount, case when kept then 'loan_purpose_' || x.v else 'loan_purpose_infrequent' end as hot,
+        cast(1 as double) as total
+    from x join freq on x.v = freq.v
 """)
 def one_hot(t):
+    """Which column of each row is 1, and the sum of all its columns."""
     loans = t["loan_applications"]
-    state = encode.fit(loans, [], ["loan_purpose"], [], min_frequency=0.105)
-    wide = encode.transform(loans, state, ["loan_id", "loan_amount"])
-    kept = [f"loan_purpose_{v}" for v in state.kept["loan_purpose"]]
-    total = F.lit(0.0)
-    for c in kept:
-        total = total + F.col(c)
-    rare = F.col("loan_purpose_infrequent") if state.infrequent["loan_purpose"] else F.lit(0.0)
-    return wide.select("loan_id", "loan_amount", total.alias("kept_columns"), rare.alias("infrequent_column"))
+    return _hot(loans, encode.fit(loans, [], ["loan_purpose"], [], min_frequency=0.105), ["loan_id", "loan_amount"])
+
+
+def _hot(df, state, keep):
+    names = state.names()
+    wide = encode.transform(df, state, keep)
+    total = sum((F.col(c) for c in names), F.lit(0.0))
+    hot = F.concat_ws(",", *[F.when(F.col(c) == 1.0, F.lit(c)) for c in names])
+    return wide.select(*keep, hot.alias("hot"), total.alias("total"))
+
+
+@query("one_hot_many_levels", """
+    with n as (select count(*) as total from {orders}),
+    old as (select cast(o_custkey as string) as v, count(*) as n from {orders} where o_orderdate < date '2000-01-01' group by 1),
+    kept as (select v from old where n >= 0.0013 * (select sum(n) from old))
+    select o_orderkey, case when c.v in (select v from kept) then 'o_custkey_' || c.v when c.v in (select v from old) then 'o_custkey_infrequent' else '' end as hot,
+        cast(case when c.v in (select v from old) then 1 else 0 end as double) as total
+    from (select o_orderkey, cast(o_custkey as string) as v from {orders}) c
+""")
+def one_hot_many_levels(t):
+    """Nearly as many levels as rows: some kept, most infrequent, some never seen in training."""
+    orders = t["orders"]
+    state = encode.fit(orders.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("date")), [], ["o_custkey"], [], min_frequency=0.0013)
+    return _hot(orders, state, ["o_orderkey"])
 
 
 @query("ordinal_code", """

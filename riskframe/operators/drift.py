@@ -1,6 +1,7 @@
 """Baseline profiles and drift of current data against them.
 
-A profile is small fitted state (edges, frequencies) plus a reference sample.
+A profile is small fitted state (edges, shares of frequent categories), a table of the
+shares of all other categories, and a reference sample.
 Current data is reduced to counts per bin, category or distinct value; only those
 counts meet the baseline.
 """
@@ -12,16 +13,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.config import MONITORING
 from riskframe.functions.bins import indexed_bin, open_ended
 from riskframe.functions.exprs import number
 from riskframe.functions.pvalues import chi2_p, ks_p, normal_quantile
-from riskframe.operators.encode import MAX_LEVELS
 from riskframe.operators.explore import _long
-from riskframe.operators.ordered import running_sums
+from riskframe.operators.ordered import materialize, running_sums, write_shared
 from riskframe.operators.quantiles import quantiles
 from riskframe.operators.split import exact_sample
 
@@ -32,19 +32,30 @@ FINDINGS = (
 )
 
 
+SHARES = "feature string, value string, expected double"
+# Categories with a smaller share are rows of a table; at most 1/RARE a column are not.
+RARE = 0.01
+
+
 @dataclass(frozen=True)
 class Baseline:
     model_id: str
     n_rows: int
     default_rate: float
     numeric: dict[str, dict]  # mean, std, min, max, edges
-    categorical: dict[str, dict[str, float]]  # category -> share
+    categorical: dict[str, dict[str, float]]  # category -> share, of those above RARE
     prediction_edges: list[float]
     window: tuple[str, str] = ("", "")
+    rare: str = ""  # folder of the (feature, value, expected) table of all others
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
+    def shares(self, spark: SparkSession) -> DataFrame:
+        """feature, value, expected of every category of training."""
+        listed = _listed_shares(spark, self.categorical)
+        return listed.unionByName(spark.read.schema(SHARES).parquet(self.rare)) if self.rare else listed
+
     @classmethod
     def from_json(cls, text: str) -> Baseline:
         raw = json.loads(text)
@@ -75,14 +86,16 @@ def build_baseline(
         for i, c in enumerate(numeric) if c in edges
     }
     shares: dict[str, dict[str, float]] = {c: {} for c in categorical}
+    rare = ""
     if categorical:
-        counts = category_counts(train, categorical)
-        if not counts.groupBy("feature").count().where(F.col("count") > MAX_LEVELS).isEmpty():
-            raise ValueError(f"a categorical column has more than {MAX_LEVELS} levels")
-        for r in counts.collect():  # checked above
-            shares[r.feature][r.value] = r.n / row.n
+        share = (F.col("n") / F.lit(float(row.n))).alias("expected")
+        counts = materialize(category_counts(train, categorical).select("feature", "value", share))
+        for r in counts.where(F.col("expected") >= RARE).collect():  # at most 1/RARE a column
+            shares[r.feature][r.value] = r.expected
+        others = counts.where(F.col("expected") < RARE)
+        rare = "" if others.isEmpty() else write_shared(others)
     sample = exact_sample(train, key, sample_size, seed).select(*numeric, F.col(probability).alias("__p_default__"))
-    return Baseline(model_id, row.n, row.rate, profile, shares, edges[probability], window), sample
+    return Baseline(model_id, row.n, row.rate, profile, shares, edges[probability], window, rare), sample
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,26 +160,41 @@ def observed_shares(df: DataFrame, edges: dict[str, Sequence[float]]) -> dict[st
     return out
 
 
-def _baseline_shares(spark, shares: dict[str, dict[str, float]]) -> DataFrame:
+Shares = dict[str, dict[str, float]] | DataFrame
+
+
+def _listed_shares(spark: SparkSession, shares: dict[str, dict[str, float]]) -> DataFrame:
     rows = [(c, v, float(p)) for c, m in shares.items() for v, p in m.items()]
-    return spark.createDataFrame(rows, "feature string, value string, expected double")
+    return spark.createDataFrame(rows, SHARES)
+
+
+def _expected(df: DataFrame, shares: Shares, columns: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """Shares as a table, and the columns they are of."""
+    if isinstance(shares, DataFrame):
+        if columns is None:
+            raise ValueError("a table of shares needs the names of its columns")
+        return shares.where(F.col("feature").isin(list(columns))), list(columns)
+    return _listed_shares(df.sparkSession, shares), list(shares)
 
 
-def category_table(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
-    """feature, value, expected share (0 if new), n, total for every category on either side."""
-    counts = category_counts(df, list(shares))
+def category_table(df: DataFrame, shares: Shares, columns: Sequence[str] | None = None) -> DataFrame:
+    """feature, value, expected share (0 if new), n, total for every category on either side.
+    ``shares`` lists each column's categories, or is a table (feature, value, expected)
+    of any length, for the named columns."""
+    expected, columns = _expected(df, shares, columns)
+    counts = category_counts(df, columns)
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    both = counts.join(_baseline_shares(df.sparkSession, shares), ["feature", "value"], "full")
-    return both.join(totals, "feature").select(
+    both = counts.join(expected, ["feature", "value"], "full")
+    return both.join(F.broadcast(totals), "feature").select(  # a row per column
         "feature", "value", F.coalesce("expected", F.lit(0.0)).alias("expected"),
         F.coalesce("n", F.lit(0)).alias("n"), "total", F.col("expected").isNull().alias("is_new"),
     )
 
 
-def categorical_psi(df: DataFrame, shares: dict[str, dict[str, float]], epsilon: float = MONITORING["epsilon"]) -> DataFrame:
+def categorical_psi(df: DataFrame, shares: Shares, epsilon: float = MONITORING["epsilon"], columns: Sequence[str] | None = None) -> DataFrame:
     """feature, psi, n_new, new_example: how many categories the baseline never saw,
     and the most frequent of them (``new_categories`` has them all, as rows)."""
-    t = category_table(df, shares)
+    t = category_table(df, shares, columns)
     return t.groupBy("feature").agg(F.sum(psi_term(F.col("expected"), F.col("n") / F.col("total"), epsilon)).alias("psi"), *_new())
 
 
@@ -175,15 +203,15 @@ def _new() -> list[Column]:
     return [F.count_if("is_new").alias("n_new"), F.min(F.when(F.col("is_new"), F.struct((-F.col("n")).alias("n"), "value")))["value"].alias("new_example")]
 
 
-def chi_square(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+def chi_square(df: DataFrame, shares: Shares, columns: Sequence[str] | None = None) -> DataFrame:
     """feature, statistic, dof, n_new, new_example of the goodness-of-fit test."""
-    t = category_table(df, shares)
+    t = category_table(df, shares, columns)
     weight = t.groupBy("feature").agg(F.sum("expected").alias("w"))
     floor = F.greatest(F.col("expected") / F.col("w") * F.col("total"), F.lit(1e-6))
-    t = t.join(weight, "feature").where("w > 0").withColumn("e", floor)
+    t = t.join(F.broadcast(weight), "feature").where("w > 0").withColumn("e", floor)
     scale = t.groupBy("feature").agg((F.sum("n") / F.sum("e")).alias("scale"))
     e = F.col("e") * F.col("scale")
-    return t.join(scale, "feature").groupBy("feature").agg(
+    return t.join(F.broadcast(scale), "feature").groupBy("feature").agg(
         F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("statistic"), (F.count("*") - 1).alias("dof"), *_new())
 
 
@@ -241,12 +269,13 @@ def feature_drift(baseline: Baseline, sample: DataFrame, current: DataFrame, set
             bad = p is not None and p < alpha
             rows.append((r.feature, "ks", 0.0, r.statistic, r.statistic, "DRIFT" if bad else "OK",
                          f"p_value={p if p is not None else math.nan:.4g}"))
-    shares = {c: m for c, m in baseline.categorical.items() if c in current.columns}
-    if shares:
-        for r in categorical_psi(current, shares, eps).collect():
+    columns = [c for c in baseline.categorical if c in current.columns]
+    if columns:
+        shares = baseline.shares(spark)
+        for r in categorical_psi(current, shares, eps, columns).collect():
             rows.append((r.feature, "psi", 0.0, r.psi, r.psi, "DRIFT" if r.n_new else status(r.psi),
                          f"{r.n_new} categories not seen in training, such as {r.new_example}" if r.n_new else ""))
-        for r in chi_square(current, shares).collect():
+        for r in chi_square(current, shares, columns).collect():
             p = chi2_p(r.statistic, r.dof)
             bad = (not math.isnan(p) and p < alpha) or r.n_new > 0
             rows.append((r.feature, "chi_square", 0.0, r.statistic, r.statistic, "DRIFT" if bad else "OK", f"p_value={p:.4g}"))
@@ -281,7 +310,7 @@ def psi_history(reports: DataFrame) -> DataFrame:
     ).agg(F.avg(F.col("drift_score").cast("double")).alias("psi"))
 
 
-def new_categories(df: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+def new_categories(df: DataFrame, shares: Shares, columns: Sequence[str] | None = None) -> DataFrame:
     """feature, value of categories the baseline never saw."""
-    known = _baseline_shares(df.sparkSession, shares)
-    return category_counts(df, list(shares)).join(known, ["feature", "value"], "left_anti").select("feature", "value")
+    known, columns = _expected(df, shares, columns)
+    return category_counts(df, columns).join(known, ["feature", "value"], "left_anti").select("feature", "value")

@@ -1,7 +1,9 @@
 """Encoding of feature columns: scaled numbers, one-hot categories, ordered bands.
 
-``fit`` looks at training rows only and returns a small JSON-able state;
-``transform`` is a projection.
+``fit`` looks at training rows only and returns a small JSON-able state.  Levels that
+reach the minimum frequency f are at most 1/f a column and become columns; all other
+levels seen in training, however many, are rows of a table in shared storage, which
+``transform`` looks up by a join.
 """
 
 from __future__ import annotations
@@ -23,19 +25,22 @@ from riskframe.config import (
 )
 from riskframe.functions.exprs import number
 from riskframe.operators.explore import _long
+from riskframe.operators.ordered import materialize, write_shared
 from riskframe.operators.quantiles import quantiles
 
-# More levels than this is no category but an identifier; refused, not truncated.
-MAX_LEVELS = 10_000
+LEVELS = "feature string, value string"
+# Rows of kept levels need no lookup; as join keys they are spread over so many values.
+SPREAD = 4096
 
 
 @dataclass(frozen=True)
 class EncoderState:
     numeric: dict[str, tuple[float, float, float]]  # median, mean, scale
     kept: dict[str, list[str]]  # one-hot levels
-    infrequent: dict[str, list[str]]  # levels sharing one column
+    infrequent: dict[str, int]  # how many levels share one column
     most_frequent: dict[str, str | None]  # ordinal columns
     order: dict[str, list[str]]
+    levels: str = ""  # folder of the (feature, value) table of the infrequent ones
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -91,26 +96,61 @@ def fit(
         ).first()
         scaled = {c: (medians[c], row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, c in enumerate(numeric)}
     kept: dict[str, list[str]] = {c: [] for c in categorical}
-    rare: dict[str, list[str]] = {c: [] for c in categorical}
-    frequent: dict[str, str | None] = {}
+    rare = dict.fromkeys(categorical, 0)
+    frequent: dict[str, str | None] = dict.fromkeys(ordinal)
+    path = ""
     if categorical or ordinal:
         text = train.select(
-            *[F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(c) for c in categorical],
+            *[_level(c).alias(c) for c in categorical],
             *[F.col(c).cast("string").alias(c) for c in ordinal],
         )
         counts = _long(text, [*categorical, *ordinal]).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-        levels = counts.groupBy("feature").agg(F.count("*").alias("levels"))
-        if any(r.levels > MAX_LEVELS for r in levels.collect()):
-            raise ValueError(f"a categorical column has more than {MAX_LEVELS} levels")
-        rows = counts.collect()
-        total = train.count()
-        for r in sorted(rows, key=lambda r: (r.feature, r.value)):
-            if r.feature in kept:
-                (kept if r.n >= min_frequency * total else rare)[r.feature].append(r.value)
-        for c in ordinal:
-            mine = [(-r.n, r.value) for r in rows if r.feature == c]
-            frequent[c] = min(mine)[1] if mine else None
-    return EncoderState(scaled, kept, rare, frequent, {c: list(order[c]) for c in ordinal})
+        counts = materialize(counts)
+        least = F.lit(min_frequency * train.count())
+        is_category = F.col("feature").isin(list(categorical))
+        for r in counts.where(is_category & (F.col("n") >= least)).orderBy("feature", "value").collect():  # at most 1/min_frequency a column
+            kept[r.feature].append(r.value)
+        seldom = counts.where(is_category & (F.col("n") < least))
+        for r in seldom.groupBy("feature").agg(F.count("*").alias("levels")).collect():
+            rare[r.feature] = r.levels
+        if any(rare.values()):
+            path = write_shared(seldom.select("feature", "value"))
+        if ordinal:
+            modes = counts.where(F.col("feature").isin(list(ordinal))).groupBy("feature")
+            for r in modes.agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("first")).collect():
+                frequent[r.feature] = r.first.value
+    return EncoderState(scaled, kept, rare, frequent, {c: list(order[c]) for c in ordinal}, path)
+
+
+def _level(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
+
+
+def _mark(i: int) -> str:
+    return f"__infrequent_{i}"
+
+
+def with_levels(df: DataFrame, state: EncoderState) -> DataFrame:
+    """The frame with a mark per categorical column: its value is an infrequent level of
+    training.  Spark broadcasts the level table where it is small, and shuffles by value
+    where it is not; the frequent values, which can be most rows, have keys of their own."""
+    known = None
+    for i, c in enumerate(state.kept):
+        if not state.infrequent[c]:
+            continue
+        known = df.sparkSession.read.schema(LEVELS).parquet(state.levels) if known is None else known
+        mine = known.where(F.col("feature") == c).select(F.col("value").alias("__value"), F.lit(True).alias("__seen"))
+        frequent = _level(c).isin(state.kept[c]) if state.kept[c] else F.lit(False)
+        spread = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % SPREAD).cast("string"))
+        keyed = df.withColumn("__frequent", frequent).withColumn("__level", F.when(F.col("__frequent"), spread).otherwise(_level(c)))
+        joined = keyed.join(mine, F.col("__level") == F.col("__value"), "left")
+        mark = ~F.col("__frequent") & F.col("__seen").isNotNull()
+        df = joined.withColumn(_mark(i), mark).drop("__frequent", "__level", "__value", "__seen")
+    return df
+
+
+def without_levels(df: DataFrame, state: EncoderState) -> DataFrame:
+    return df.drop(*[_mark(i) for i in range(len(state.kept))])
 
 
 def ordinal_code(c: Column, order: Sequence[str], fill: str | None) -> Column:
@@ -121,22 +161,22 @@ def ordinal_code(c: Column, order: Sequence[str], fill: str | None) -> Column:
 
 
 def encoded_columns(state: EncoderState) -> list[Column]:
+    """Expressions over a frame that ``with_levels`` has marked."""
     cols = [
         ((F.coalesce(number(c), F.lit(median)) - F.lit(mean)) / F.lit(scale)).alias(c)
         for c, (median, mean, scale) in state.numeric.items()
     ]
-    for c, levels in state.kept.items():
-        v = F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
-        cols += [(v == F.lit(level)).cast("double").alias(f"{c}_{level}") for level in levels]
+    for i, (c, levels) in enumerate(state.kept.items()):
+        cols += [(_level(c) == F.lit(level)).cast("double").alias(f"{c}_{level}") for level in levels]
         if state.infrequent[c]:
-            cols.append(v.isin(state.infrequent[c]).cast("double").alias(f"{c}_infrequent"))
+            cols.append(F.col(_mark(i)).cast("double").alias(f"{c}_infrequent"))
     cols += [ordinal_code(F.col(c), state.order[c], fill).alias(c) for c, fill in state.most_frequent.items()]
     return cols
 
 
 def transform(df: DataFrame, state: EncoderState, keep: Sequence[str] = ()) -> DataFrame:
     """keep columns plus one double column per encoded name."""
-    return df.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *encoded_columns(state)).withColumnsRenamed(
+    return with_levels(df, state).select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *encoded_columns(state)).withColumnsRenamed(
         {f"_keep_{c}": c for c in keep if c not in state.names()})
 
 
@@ -144,7 +184,7 @@ def with_vector(df: DataFrame, state: EncoderState, output: str = "features") ->
     """The frame itself plus the encoded vector."""
     names = state.names()
     parts = [c.alias(f"_x_{i}") for i, c in enumerate(encoded_columns(state))]
-    wide = df.select("*", *parts)
+    wide = without_levels(with_levels(df, state).select("*", *parts), state)
     temp = [f"_x_{i}" for i in range(len(names))]
     return VectorAssembler(inputCols=temp, outputCol=output).transform(wide).drop(*temp)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskframe.config import TOP_K_FACTORS
 from riskframe.functions.display import feature_value
 from riskframe.functions.reason_text import TEMPLATES
-from riskframe.operators.encode import EncoderState, encoded_columns
+from riskframe.operators.encode import EncoderState, encoded_columns, with_levels, without_levels
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class LinearState:
 def background_means(sample: DataFrame, encoder: EncoderState) -> list[float]:
     """Mean of every encoded column over the background rows."""
     cols = encoded_columns(encoder)
-    row = sample.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+    row = with_levels(sample, encoder).agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
     return [row[f"m_{i}"] for i in range(len(cols))]
 
 
@@ -145,7 +145,8 @@ def explain(df: DataFrame, state: LinearState, encoder: EncoderState, benchmarks
     check_coverage(set(encoder.sources().values()))
     templates = _templates(benchmarks)
     total = F.aggregate("_factors", F.lit(state.base_value), lambda acc, f: acc + f["contribution"])
-    return df.withColumn("_factors", contributions(state, encoder)).withColumns({
+    marked = with_levels(df, encoder).withColumn("_factors", contributions(state, encoder))
+    return without_levels(marked, encoder).withColumns({
         "base_value": F.lit(state.base_value), "model_output_value": total,
         "top_risk_factors": top_factors(F.col("_factors"), 1, k, templates),
         "top_positive_factors": top_factors(F.col("_factors"), -1, k, templates),
@@ -156,7 +157,7 @@ def explain_long(df: DataFrame, key: Sequence[str], state: LinearState, encoder:
     """Every feature of every row: value, impact, sentence, benchmark, rank by impact."""
     check_coverage(set(encoder.sources().values()))
     templates = _templates(benchmarks)
-    rows = df.withColumn("_factors", F.sort_array(contributions(state, encoder))).select(*key, F.posexplode("_factors").alias("pos", "f"))
+    rows = with_levels(df, encoder).withColumn("_factors", F.sort_array(contributions(state, encoder))).select(*key, F.posexplode("_factors").alias("pos", "f"))
     sentence = reason_sentence(F.col("f.feature"), F.col("f.value"), F.col("f.number"), F.col("f.contribution"), templates)
     median = {f: b.get("median") for f, b in benchmarks.items()}
     known = F.create_map(*[x for f in TEMPLATES for x in (F.lit(f), F.lit(median.get(f)).cast("double"))])

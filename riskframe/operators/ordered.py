@@ -33,13 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def write_shared(df: DataFrame) -> str:
+    """Write a table to a new place in the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession)}/riskframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and
     survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
 
 
 def _slices(spark: SparkSession, rows: int, rows_per_task: int) -> int:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,7 +170,21 @@ def load_state(spark: SparkSession, cls, path: str):
     return cls.from_json(json.dumps(read_json(spark, path)))
 
 
+def _with_table(spark: SparkSession, state, member: str, path: str):
+    """The state with the table that ``member`` points to copied to ``path``."""
+    if not getattr(state, member):
+        return state
+    spark.read.parquet(getattr(state, member)).write.mode("overwrite").parquet(path)
+    return replace(state, **{member: path})
+
+
+def save_encoder(spark: SparkSession, encoder, path: str) -> None:
+    """A fitted encoder with its table of infrequent levels; ``load_state`` reads it."""
+    save_state(spark, _with_table(spark, encoder, "levels", f"{path}-levels"), path)
+
+
 def save_baseline(spark: SparkSession, baseline, sample: DataFrame, root: str) -> None:
+    baseline = _with_table(spark, baseline, "rare", f"{root}/{baseline.model_id}/shares")
     save_state(spark, baseline, f"{root}/{baseline.model_id}/profile")
     sample.write.mode("overwrite").parquet(f"{root}/{baseline.model_id}/sample")
 

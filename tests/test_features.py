@@ -89,7 +89,7 @@ def test_cleaning_is_idempotent(spark):
 def test_encoder(spark):
     df = spark.createDataFrame([(1.0, "a", "Q1"), (3.0, "a", "Q2"), (None, "b", "Q2"), (2.0, None, "nan")], "v double, c string, b string")
     state = encode.fit(df, ["v"], ["c"], ["b"], 0.3, {"b": ["Q1", "Q2"]})
-    assert state.numeric["v"][0] == 2.0 and state.kept["c"] == ["a"] and state.infrequent["c"] == ["UNKNOWN", "b"]
+    assert state.numeric["v"][0] == 2.0 and state.kept["c"] == ["a"] and state.infrequent == {"c": 2}
     assert state.names() == ["v", "c_a", "c_infrequent", "b"] and state.sources()["c_infrequent"] == "c"
     new = spark.createDataFrame([(2.0, "zzz", "Q9"), (None, "b", None)], "v double, c string, b string")
     assert [tuple(r) for r in encode.transform(new, state).collect()] == [(0.0, 0.0, 0.0, -1.0), (0.0, 0.0, 1.0, 1.0)]
@@ -97,3 +97,19 @@ def test_encoder(spark):
     assert encode.source_feature("loan_type_HOME", ["age"], ["loan", "loan_type"], []) == "loan_type"
     with pytest.raises(ValueError):
         encode.check_finite(new, ["v"])
+
+
+def test_a_million_levels(spark, tmp_path):
+    """Levels are rows: half of the rows have one value, the others one each; unseen values fit no column."""
+    from riskframe.sources import tables
+
+    n = 1_000_000
+    df = spark.range(2 * n).select("id", F.when(F.col("id") % 2 == 0, "big").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("c"))
+    state = encode.fit(df, [], ["c"], [])
+    assert state.kept == {"c": ["big"]} and state.infrequent == {"c": n} and len(state.to_json()) < 1000
+    tables.save_encoder(spark, state, str(tmp_path / "encoder"))
+    state = tables.load_state(spark, encode.EncoderState, str(tmp_path / "encoder"))
+    new = df.unionByName(spark.range(5).select("id", F.lit("unseen").alias("c"))).unionByName(spark.range(1).select("id", F.lit("\0" + "1").alias("c")))
+    got = encode.transform(new, state).groupBy("c_big", "c_infrequent").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1.0, 0.0): n, (0.0, 1.0): n, (0.0, 0.0): 6}
+    assert encode.with_vector(new, state).where("id = 1 and c = 'v1'").first().features.toArray().tolist() == [0.0, 1.0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, ORDINAL_FEATURES, POLICY
 from riskframe.functions import display
+from riskframe.sources import tables
 from riskframe.operators import drift, encode, explain, registry, score
 
 
@@ -146,6 +147,23 @@ def test_baseline_profile(spark):
     assert found.where("status = 'DRIFT'").count() == 0
 
 
+def test_baseline_of_many_categories(spark, tmp_path):
+    """Shares of rare categories are a table; drift against them needs no list."""
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "A").otherwise(F.col("id").cast("string")).alias("c"), F.lit(0).alias("y"), F.lit(0.5).alias("p"))
+    b, sample = drift.build_baseline(df, "y", "p", [], ["c"], ["id"], "many", sample_size=5)
+    assert b.categorical == {"c": {"A": 1 / 3}} and len(b.to_json()) < 1000
+    tables.save_baseline(spark, b, sample, str(tmp_path))
+    b, _ = tables.load_baseline(spark, "many", str(tmp_path))
+    assert b.shares(spark).count() == 40_001
+    same = drift.categorical_psi(df, b.shares(spark), columns=["c"]).first()
+    assert same.n_new == 0 and abs(same.psi) < 1e-9
+    now = df.withColumn("c", F.when(F.col("id") < 7, F.concat(F.lit("new"), F.col("id") % 2)).otherwise(F.col("c")))
+    assert sorted(r.value for r in drift.new_categories(now, b.shares(spark), ["c"]).collect()) == ["new0", "new1"]
+    assert drift.feature_drift(b, sample, now).where("status = 'DRIFT'").count() == 2
+    with pytest.raises(ValueError):
+        drift.categorical_psi(df, b.shares(spark))
+
+
 def test_registry(spark):
     from datetime import datetime
 
