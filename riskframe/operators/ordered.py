@@ -46,6 +46,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df))
 
 
+class Scratch:
+    """Tables written to the shared folder that are deleted once nothing reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(write_shared(df))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _slices(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     return max(2, -(-rows // rows_per_task))
 
