@@ -5,13 +5,9 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Task code travels with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
-
 #: White space of the exact-copy and shingle rules: a blank and \\x09 to \\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 

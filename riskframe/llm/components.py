@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordered import materialize
+from riskframe.operators.ordered import Scratch
 
 
 def _down(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     ``edges`` has columns ``a`` and ``b``; loops, repeats and edges with a null end
     say nothing.  Every round hangs the larger neighbours of a node below its
     smallest neighbour, then its smaller ones; both are minima that combine before
-    the shuffle.  The rounds end when nothing changes; not to end is an error."""
-    edges, was = materialize(_down(edges)), None
+    the shuffle, and the table of the round before is deleted.  The rounds end when
+    nothing changes; not to end is an error."""
+    held = Scratch(edges.sparkSession)
+    edges, was = held.write(_down(edges)), None
     for _ in range(rounds):
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("sum")).first()
         if now == was or not now["n"]:
@@ -34,5 +36,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = _down(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(_down(small.unionByName(least.select("a", F.col("m").alias("b")))))
+        after = Scratch(edges.sparkSession)
+        edges = after.write(_down(small.unionByName(least.select("a", F.col("m").alias("b")))))
+        held.clear()
+        held = after
     raise RuntimeError(f"components still change after {rounds} rounds")

@@ -16,6 +16,7 @@ together and long texts cost no more than short ones.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -174,16 +175,18 @@ def identify(docs: DataFrame, trees: dict[str, Tree], id_col: str = "doc_id", te
     alphabetical order is taken.  Repeated rows are predicted each, an empty table
     gives no rows, other columns are ignored."""
     names = sorted(trees)
-    box = docs.sparkSession.sparkContext.broadcast([trees[n] for n in names])
+    # Plain arrays: a broadcast names classes, which executors may not have, by their module.
+    box = docs.sparkSession.sparkContext.broadcast([(trees[n].bits, trees[n].after) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frozen = [SimpleNamespace(bits=bits, after=after) for bits, after in box.value]
         for batch in batches:
             lang: list = [UNDETERMINED] * batch.num_rows
             score, per_byte = [0.0] * batch.num_rows, [None] * batch.num_rows
             some, texts, size = [], [], 0
 
             def settle() -> None:
-                bits = code_lengths(texts, box.value)
+                bits = code_lengths(texts, frozen)
                 best = bits.argmin(axis=1)
                 odds = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 for i, t, b, o, row in zip(some, texts, best.tolist(), odds.tolist(), bits):

@@ -143,10 +143,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Null texts count as empty and have no words; repeated rows are graded each; an
     empty table gives no rows; other columns are ignored.  Whole texts are read."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = box.value
         for batch in batches:
             p = model.probabilities(np.array([model.score(t.as_py()) for t in batch.column(1)], dtype=float))
             expected = p @ np.arange(p.shape[1], dtype=float)
