@@ -108,4 +108,4 @@ def tokenizers_encoder(path: str) -> ChunkEncoder:
     def encode(chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    return ChunkEncoder(key, encode, 3 * CACHED_CHUNKS // 2)
+    return ChunkEncoder(key, encode, 7 * CACHED_CHUNKS // 2)
