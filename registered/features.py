@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from registered.base import R, query, r, rounded
 from registered.inputs import MERGED
 from riskframe.config import MERGED_COLUMNS, ORDINAL_ORDER
 from riskframe.operators import encode, features, joins, portfolio, split
+from riskframe.operators.constraints import CHECKS, NOT_NULL
+from riskframe.operators.ordered import shared_dir
+from riskframe.sources import intake as intake_tables
 
 _COLS = ", ".join(MERGED_COLUMNS)
 
@@ -126,7 +130,10 @@ def app_view(t):
 """)
 def intake(t):
     a = merged(t).withColumn("credit_utilization", F.col("total_outstanding") / F.col("total_credit_limit"))
-    parts = joins.intake_split(a)
+    return _intake_rows(joins.intake_split(a))
+
+
+def _intake_rows(parts):
     snap = F.concat_ws("|", "customer_id", F.col("as_of_date").cast("string"))
 
     def show(name, key, v):
@@ -138,6 +145,30 @@ def intake(t):
     )
 
 
+def _valid() -> str:
+    """Every not-null and check constraint of an application's four rows, as SQL."""
+    tests = [f"{c} is not null" for t in intake_tables.TABLES for c in NOT_NULL[t] if c not in ("status", "as_of_date")]
+    return " and ".join(tests + [f"({c})" for t in intake_tables.TABLES for c in CHECKS[t].values()])
+
+
+@query("intake_commit", f"""
+    with a as (select *, total_outstanding / total_credit_limit as credit_utilization from ({MERGED})),
+    r as (select *, row_number() over (partition by customer_id order by (application_date >= date '1998-01-01')::int, application_date, loan_id, loan_amount, age) as nth from a where {_valid()}),
+    k as (select * from r where nth = 1)
+    select 'customers' as "table", customer_id as key, annual_income as v from k union all select 'loan_applications', loan_id, loan_amount from k
+    union all select 'financial_profiles', customer_id || '|' || cast(application_date as string), monthly_expenses from k
+    union all select 'credit_history', customer_id || '|' || cast(application_date as string), total_outstanding from k
+""")
+def intake_commit(t):
+    """Two intakes, older applications first; a customer can apply once."""
+    a = merged(t).withColumn("credit_utilization", F.col("total_outstanding") / F.col("total_credit_limit"))
+    root = f"{shared_dir(t.spark)}/intake-{uuid.uuid4().hex}"
+    old = F.col("application_date") < F.lit("1998-01-01").cast("date")
+    for part in (a.where(old), a.where(~old)):
+        intake_tables.take_in(t.spark, root, part, ["application_date", "loan_id", "loan_amount", "age"])
+    return _intake_rows(intake_tables.read_tables(t.spark, root))
+
+
 @query("map_parameter", """
     select loan_id, case when loan_type = 'HOME' then 8.5 when loan_type = 'AUTO' then 9.5 else 12.0 end as base_rate from {loan_applications}
 """)
