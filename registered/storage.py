@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registered.base import query
 from riskframe.operators import registry
 from riskframe.operators.ordered import shared_dir
-from riskframe.sources import tables
+from riskframe.sources import model_store, ranged, tables
 
 
 def folder(t) -> str:
@@ -64,6 +64,36 @@ def upsert(t):
     return tables.read_current(t.spark, path)
 
 
+@query("upsert_ranges", """
+    select o_orderkey, case when o_orderstatus = 'F' and o_orderkey % 1000 < 100 then 'Z' else o_orderstatus end as o_orderstatus, o_totalprice from {orders}
+    union all select -1 - o_orderkey, 'N', o_totalprice from {orders} where o_orderstatus = 'P'
+""")
+def upsert_ranges(t):
+    """The orders in files of key ranges; two upserts, one of old keys and one of new."""
+    path = folder(t)
+    now = t["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
+    ranged.upsert(t.spark, path, now, ["o_orderkey"])
+    ranged.upsert(t.spark, path, now.where("o_orderstatus = 'F' and o_orderkey % 1000 < 100").withColumn("o_orderstatus", F.lit("Z")), ["o_orderkey"])
+    new = now.where("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    ranged.upsert(t.spark, path, new, ["o_orderkey"])
+    return ranged.read(t.spark, path)
+
+
+@query("model_artefacts", """
+    select 'm' as model_id, '1.0.0' as model_version, 'counts' as artefact, o_orderstatus as item, count(*) as n, round(avg(o_totalprice), 4) as mean
+    from {orders} group by o_orderstatus
+""")
+def model_artefacts(t):
+    """A report of the orders, attached to a registered model and read back by its row."""
+    root = folder(t)
+    mean = t["orders"].agg(F.avg("o_totalprice")).first()[0]
+    model_store.register(t.spark, root, {"model_id": "m", "metrics": {"mean": mean}})
+    counts = t["orders"].groupBy(F.lit("counts").alias("artefact"), F.col("o_orderstatus").alias("item")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    model_store.attach(t.spark, root, "m", {"mean": mean}, {"counts": counts})
+    row = model_store.models(t.spark, root).select("model_id", "model_version", F.explode("artefacts").alias("artefact", "folder")).drop("folder")
+    return row.join(model_store.report(t.spark, root, "m")["counts"], "artefact")
+
+
 @query("truncate_and_reload", "select o_orderkey, o_custkey from {orders}")
 def reload(t):
     path = folder(t)
