@@ -44,10 +44,23 @@ RULES = (
 #: Cheaper patterns that hold wherever a rule has a match long enough.
 _HINTS = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
+#: Matches worked on together: arrays that grow inside a fold are copied at each step.
+STEPS = 1_000
+
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 SPANS = "array<struct<start:int,end:int>>"
 
 
+def _runs(items: Column) -> Column:
+    """An array cut into arrays of STEPS items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / STEPS).cast("int")), lambda i: F.slice(items, i * STEPS + 1, F.lit(STEPS)))
+
+
+def _of(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """(start, end) of the rule's matches in code points, end exclusive.  The parts
     between matches and the matches themselves alternate, so their lengths add up
@@ -66,7 +79,12 @@ def spans(text: Column, rule: Rule) -> Column:
         found = F.when(x["value"] >= rule.least, F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(state["out"])
         return F.struct(end.alias("at"), found.alias("out"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    def run(state: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out"))
+    found = _of(steps, lambda all_: F.aggregate(_runs(all_), start, run, lambda s: F.flatten(s["out"])))
     return F.when(text.rlike(_HINTS.get(rule.kind, rule.pattern)), found).otherwise(empty)
 
 
@@ -87,7 +105,8 @@ def address(text_col: str = "text") -> Column:
 
 def update(docs: DataFrame, ledger: str, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Scan what the ledger has not seen, append it, and return ``blob`` and ``found``
-    of every blob in the ledger in which these rules found something."""
+    of every blob in the ledger in which these rules found something.  A pair that was
+    appended more than once, by a run that was repeated or by two at a time, counts once."""
     spark = docs.sparkSession
     text = whole_text(text_col)
     # Equal texts are combined before the shuffle, so each blob is held once.
@@ -110,7 +129,8 @@ def update(docs: DataFrame, ledger: str, text_col: str = "text", rules: Sequence
     hits = hits.select("blob", F.col("rule"), order[F.col("rule")].alias("nth"), "spans")
     hits = hits.groupBy("blob").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.col("nth").alias("nth"), F.split_part(F.col("rule"), F.lit("@"), F.lit(1)).alias("kind"), s["end"].alias("end"))))).alias("found"))
-    return hits.select("blob", F.sort_array("found").alias("found"))
+    # A rule finds a span once, so equal ones come from repeated ledger rows.
+    return hits.select("blob", F.sort_array(F.array_distinct("found")).alias("found"))
 
 
 def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -129,13 +149,20 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every found span replaced by ``mark``; overlapping spans are
     replaced once."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
     def step(state: Column, s: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], between, F.lit(mark)).alias("out"))
-        longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when((s["start"] >= state["at"]), fresh).otherwise(longer)
-
-    done = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+        # ``part`` is the text from ``base`` on: positions in it are near its start.
+        between = F.substring(state["part"], state["at"] - state["base"] + 1, s["start"] - state["at"])
+        fresh, longer = F.concat(state["out"], between, F.lit(mark)), state["out"]
+        apart = s["start"] >= state["at"]
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, fresh).otherwise(longer).alias("out"), state["base"].alias("base"), state["part"].alias("part"))
+
+    def run(state: Column, some: Column) -> Column:
+        reach = F.array_max(F.transform(some, lambda s: s["end"])) - state["at"]
+        part = F.substring(text, state["at"] + 1, F.greatest(reach, F.lit(0)))
+        done = F.aggregate(some, F.struct(state["at"].alias("at"), F.lit("").alias("out"), state["at"].alias("base"), part.alias("part")), step)
+        return F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    done = F.aggregate(_runs(found), start, run, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)

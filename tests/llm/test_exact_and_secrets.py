@@ -84,6 +84,37 @@ def test_only_unseen_pairs_are_scanned(documents, spark):
     assert spark.read.parquet(ledger).count() == first + 3 + 4
 
 
+def test_repeated_ledger_rows_count_once(documents, spark):
+    """Two runs that scan the same blob at once append it twice."""
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secret_ledger.scan(documents(SECRETS), ledger).count()
+    again = spark.read.parquet(ledger)
+    again.write.parquet(f"{ledger}-copy")
+    spark.read.parquet(f"{ledger}-copy").write.mode("append").parquet(ledger)
+    rows = secret_ledger.scan(documents(SECRETS), ledger).collect()
+    assert sorted((r["doc_id"], [tuple(s) for s in r["found"]]) for r in rows) == sorted((i, brute_spans(t or "")) for i, t in SECRETS)
+
+
+def plain_redaction(text):
+    out, at = [], 0
+    for start, _, _, end in brute_spans(text):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:] if out else text
+
+
+def test_texts_of_very_many_matches(documents, spark):
+    """Folds are cut into runs; 12,000 pieces, matches of some overlapping between two kinds, others too short."""
+    many = "é".join(f"token={i:024x} " if i % 3 else f"{i:x} " for i in range(12_000))
+    rows = [(1, many), *[(i, t) for i, t in SECRETS[:10] if i > 1]]
+    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    found = secret_ledger.scan(documents(rows), ledger).join(documents(rows), "doc_id")
+    got = {r[0]: ([tuple(s) for s in r[1]], r[2]) for r in found.select("doc_id", "found", secret_ledger.redact(F.col("text"), F.col("found"))).collect()}
+    for i, t in rows:
+        assert got[i] == (brute_spans(t or ""), t if t is None else plain_redaction(t))
+
+
 def test_redaction(documents, spark):
     ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     found = documents(SECRETS).dropDuplicates(["doc_id"]).withColumn("blob", secret_ledger.address()).join(secret_ledger.update(documents(SECRETS), ledger), "blob")
