@@ -13,6 +13,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
+
 from riskframe.llm.common import process_cache
 
 #: Chunks of an age; a worker process keeps two ages.
@@ -21,6 +23,8 @@ CACHED_CHUNKS = 200_000
 CACHED_LENGTH = 64
 #: Chunks encoded in one call of the tokenizer.
 BATCH = 50_000
+#: Chunks joined to one string for the tokenizer.
+JOINED = 128
 #: Characters of text worked on at a time (one text is never cut for it).
 WINDOW = 2_000_000
 
@@ -101,11 +105,46 @@ def tokenizers_encoder(path: str) -> ChunkEncoder:
     cache = process_cache()
     key = f"tokenizers {path}"
     if key not in cache:
-        cache[key] = Tokenizer.from_file(path)
-        cache[key].encode_special_tokens = True
-    tokenizer = cache[key]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        vocabulary = tokenizer.get_vocab()
+        lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        cache[key] = tokenizer, lengths
+    tokenizer, lengths = cache[key]
+
+    def singly(chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return encode_joined(chunks, singly, lengths)
 
     return ChunkEncoder(key, encode, 3 * CACHED_CHUNKS // 2)
+
+
+def joinable(chunk: str) -> bool:
+    """Whether a chunk begins and ends as ``split`` cuts inside a text."""
+    return len(chunk) > 1 and chunk[0] == " " and not chunk[1].isspace() and not chunk[-1].isspace()
+
+
+def encode_joined(chunks: list[str], singly: Callable[[list[str]], list[bytes]], lengths: np.ndarray) -> list[bytes]:
+    """Ids of each chunk as bytes.  Chunks that could follow each other in a text are
+    encoded as one, and the ids are divided where the bytes of their tokens, one character
+    each in a byte-level vocabulary (``lengths`` by id), meet the ends of the chunks.
+    Where they don't, and for all other chunks, each chunk is encoded by itself."""
+    out: list[bytes | None] = [None] * len(chunks)
+    able = [i for i, c in enumerate(chunks) if joinable(c)]
+    runs = [able[s:s + JOINED] for s in range(0, len(able), JOINED)]
+    for run, joined in zip(runs, singly(["".join([chunks[i] for i in run]) for run in runs])):
+        ends = np.cumsum([len(chunks[i].encode("utf-8", "surrogatepass")) for i in run])
+        after = np.cumsum(lengths[np.frombuffer(joined, dtype=np.uint32)])
+        last = np.searchsorted(after, ends)
+        if not len(after) or after[-1] != ends[-1] or (after[last] != ends).any():
+            continue
+        cuts = [0, *(4 * (last + 1)).tolist()]
+        for i, a, b in zip(run, cuts, cuts[1:]):
+            out[i] = joined[a:b]
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(rest, singly([chunks[i] for i in rest])):
+        out[i] = ids
+    return out

@@ -53,6 +53,21 @@ def test_a_new_pair_may_have_a_lower_rank():
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Bpe(ranks, r"\w+").encode(words)] == [enc.encode_ordinary(w) for w in words]
 
 
+def test_joined_chunks_have_the_ids_of_each():
+    for path in (JSON, public_tokenizers.path("word_bpe_49k.json")):  # the second is not byte-level: its chunks go singly
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        parts = [" " + c for _, x in TEXTS + odd_texts(300) for c in chunks.split(x or "")] + ["first", "", "\u2003"]
+        want = [np.array(t.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in parts]
+        encoder = chunks.tokenizers_encoder(path)
+        assert encoder.later.encode(parts) == want
+        assert encoder.later.encode(parts[::-1]) == want[::-1]
+    assert encoder.later.encode([]) == []
+    # Lengths that do not meet the ends of the chunks divide nothing.
+    wide = lambda cs: [c.encode("utf-32-le") for c in cs]
+    assert chunks.encode_joined([" ab", " cd"], wide, np.full(256, 9)) == wide([" ab", " cd"])
+
+
 def test_chunks_leave_ids_alone_while_the_cache_turns_over(monkeypatch):
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
