@@ -29,12 +29,18 @@ JOINED = 128
 WINDOW = 2_000_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r" \s|\s ")
+#: White space other than the blank.
+_SPACES = [c for c in map(chr, range(0x10000)) if c != " " and c.isspace()]
+
+
+def loose(text: str) -> bool:
+    """Whether a blank stands beside other white space."""
+    return "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _SPACES)
 
 
 def split(text: str) -> list[str]:
     """Chunks of a text; all but the first lack the blank before them."""
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+    return _CUT.split(text) if loose(text) else text.split(" ")
 
 
 def windows(texts: list[str | None]) -> Iterator[list[str]]:
