@@ -13,7 +13,7 @@ ORDER = {"customers": ["row_no"], "loan_applications": ["row_no"]}
 
 
 def tables(t):
-    return {**t.credit(), "customers": t.stored("customers_loaded"), "loan_applications": t.stored("loans_loaded")}
+    return t.credit(customers="customers_loaded", loan_applications="loans_loaded")
 
 
 def state(t):
