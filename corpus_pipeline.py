@@ -41,8 +41,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: minima of their shingles' hashes
-    bring pairs together, SimHash fingerprints narrow them, the shingles verify them."""
+    """One document of each group of near copies stays: SimHash fingerprints link them by the
+    operator's Gray-order index, minima of their shingles' hashes bring more pairs together,
+    SimHash fingerprints narrow these, and the shingles verify all."""
     found = near_copies.near_copies(docs, SIMILARITY, SHINGLE_WORDS)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti")

@@ -1,6 +1,8 @@
 """Near copies: documents whose sets of word shingles have a given Jaccard similarity.
 
-Documents with equal shingle sets are one class.  Keys made of the smallest hashes of
+Documents with equal shingle sets are one class.  The SimHash operator's index links
+classes whose fingerprints are close, and the shingle sets verify its links.  That finds
+the closest copies; those of lower similarity differ in too many bits.  Keys made of the smallest hashes of
 a set bring classes together: two sets agree on one minimum with the probability of
 their similarity, wherever in the text they differ.  Inside a bucket of equal keys
 SimHash fingerprints of CHECK_BITS bits narrow the pairs, and the shingle sets themselves
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.simhash import CHECK_BITS, _mixed, check_limit, fingerprint, shingle_hashes
+from riskframe.llm.simhash import CHECK_BITS, _mixed, check_limit, fingerprint, links, shingle_hashes
 from riskframe.llm.components import components
 from riskframe.operators.ordered import Scratch, materialize
 
@@ -223,6 +225,16 @@ def _forest(members: DataFrame, beyond: int, limit: int, similarity: float) -> D
     return members.mapInArrow(run, "a long, b long").distinct()
 
 
+def fingerprint_links(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes by the SimHash operator's Gray-order index: those of a
+    fingerprint with the first of them, and the first ones of fingerprints at DISTANCE
+    or fewer differing bits (of every bucket a spanning forest)."""
+    prints = classes.where("rep is not null").select(F.element_at("check", 1).alias("fp"), "rep", "check")
+    firsts = materialize(prints.groupBy("fp").agg(F.min_by(F.struct("rep", "check"), "rep").alias("f")).select("fp", "f.rep", "f.check"))
+    equal = prints.select("fp", F.col("rep").alias("a")).join(firsts.select("fp", F.col("rep").alias("b")), "fp").where("a <> b").select("a", "b")
+    return equal.unionByName(links(firsts, firsts.count())).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``component_id``, the smallest id reachable over
     near copies.
@@ -238,7 +250,9 @@ def near_copies(docs: DataFrame, similarity: float, words: int = 5, id_col: str
     keyed = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowd = held.write(keyed.join(sizes, "key"))
-    named = docs.where(F.col(id_col).isNotNull()).join(crowd.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+    printed = held.write(fingerprint_links(classes))
+    asked = crowd.select("rep").unionByName(printed.select(F.explode(F.array("a", "b")).alias("rep")))
+    named = docs.where(F.col(id_col).isNotNull()).join(asked.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
     sets = held.write(shingle_sets(named.select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, words))
     # Shingles that one class of the large buckets has alone.
     large = crowd.where(F.col("n") > REACH[-1] + 1).select("rep").distinct()
@@ -247,16 +261,15 @@ def near_copies(docs: DataFrame, similarity: float, words: int = 5, id_col: str
     size = sets.select("rep", F.size("shingles").cast("long").alias("size")).join(alone, "rep", "left")
     facts = classes.select("rep", "check").join(size, "rep").select("rep", "check", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
     facts = held.write(facts)
-    owner = edges = None
+    edges = held.write(similar(printed, sets, similarity))
+    owner = held.write(components(edges).withColumnRenamed("node", "rep"))
     beyond = 0
     for reach in (*REACH, None):
         # Earlier rounds have compared all of a bucket that is no larger than their reach.
         members = crowd.where(F.col("n") > beyond + 1).join(facts, "rep")
         # What a class has alone among those of large buckets, one of a small bucket may share.
         most = F.when(F.col("n") > REACH[-1] + 1, F.col("most")).otherwise(F.col("size"))
-        part = F.col("rep")
-        if owner is not None:
-            members, part = members.join(owner, "rep", "left"), F.coalesce("component", "rep")
+        members, part = members.join(owner, "rep", "left"), F.coalesce("component", "rep")
         round_ = Scratch(spark)
         members = round_.write(members.select("key", "n", "rep", "check", "size", most.alias("most"), part.alias("part")))
         # A class that could not be close to the smallest of its bucket is close to none.
@@ -274,7 +287,7 @@ def near_copies(docs: DataFrame, similarity: float, words: int = 5, id_col: str
             pairs = round_.write(_neighbours(members, beyond, reach, limit, similarity))
             linked = held.write(similar(pairs, sets, similarity))
         round_.clear()
-        edges = linked if edges is None else edges.unionByName(linked)
+        edges = edges.unionByName(linked)
         owner = held.write(components(edges).withColumnRenamed("node", "rep"))
         beyond = reach
     owner = materialize(owner)
