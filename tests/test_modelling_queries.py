@@ -34,3 +34,18 @@ def test_random_search_takes_the_configured_search(monkeypatch):
     calls = called(monkeypatch, "random_search", modelling.random_search, found)
     assert [c["family"] for c in calls] == list(training.FAMILIES)
     assert all((c["n_iter"], c["folds"], c["grid"]) == (SEARCH["n_iter"], SEARCH["cv_folds"], None) for c in calls)
+
+
+def test_tables_are_reduced_to_written_customers(spark):
+    """The customers of the loans are found once, not anew for each table."""
+    from riskframe.operators import joins
+
+    loans = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b"), (None, "c"), ("4", None)], "loan_id string, customer_id string")
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), (None, 4)], "customer_id string, v int")
+    tables = {"loan_applications": loans, "customers": rows, "financial_profiles": rows, "credit_history": rows, "loan_outcomes": loans.select("loan_id")}
+    ids = spark.createDataFrame([("1",), ("1",), ("4",), (None,)], "loan_id string")
+    out = joins.filter_tables(tables, ids)
+    for t in ("customers", "financial_profiles", "credit_history"):
+        assert out[t]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+        assert [tuple(r) for r in out[t].collect()] == [("a", 1), ("a", 1)]
+    assert {r[0] for r in out["loan_applications"].collect()} == {"1", "4"} == {r[0] for r in out["loan_outcomes"].collect()}

@@ -47,6 +47,21 @@ def test_quantiles_recover_from_missed_bracket(spark, monkeypatch):
     assert module.quantiles(df, ["x"], [0.5], small_column=0)["x"] == [499.5]
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_values_outside_brackets_make_no_rows(spark, monkeypatch, most):
+    from riskframe.operators import quantiles as module
+
+    met, sums = [], module.running_sums
+    monkeypatch.setattr(module, "MOST_TESTS", most)
+    monkeypatch.setattr(module, "running_sums", lambda df, *a: met.append(df.agg(F.sum("n")).first()[0]) or sums(df, *a))
+    df = spark.range(20000).select((F.col("id") * 7919 % 20000).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.5).alias("y"))
+    got = module.quantiles(df, ["x", "y"], [0.01, 0.5, 0.99])
+    for c in ("x", "y"):
+        values = [r[0] for r in df.select(c).collect() if r[0] is not None]
+        assert np.allclose(got[c], np.quantile(values, [0.01, 0.5, 0.99]), rtol=0, atol=1e-9)
+    assert sum(met) < 2000
+
+
 def test_asof_slices_equal_unsliced(spark, inputs):
     errors = inputs["events"].where("event_type = 'error'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("v"))
     left = inputs["events"].select("event_id", "user_id", "ts")
