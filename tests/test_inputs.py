@@ -1,8 +1,11 @@
+from datetime import date
+
 import pytest
 
+from registered import all_queries
 from registered import inputs as source
 from registered.inputs import DAILY, Inputs
-from riskframe.config import CLEANING
+from riskframe.config import CLEANING, RULES
 from riskframe.operators import cleaning, engine, rules
 
 ORDER = {"customers": ["row_no"], "loan_applications": ["row_no"]}
@@ -50,3 +53,26 @@ def test_a_rule_writes_its_own_tables_only(tables, written):
 def test_fit_asks_for_fitted_tables_only(tables, written):
     cleaning.fit(tables.credit(customers="customers_loaded", loan_applications="loans_loaded"), CLEANING, ORDER)
     assert not any("default_12m" in c for c in written)
+
+
+def test_flags_of_a_table_ask_for_the_tables_of_its_rules_only(tables):
+    asked = []
+
+    class Recorded(dict):
+        def __getitem__(self, name):
+            asked.append(name)
+            return tables[name]
+
+        def get(self, name, default=None):
+            return self[name]
+
+    names = ("customers", "loan_applications", "financial_profiles", "credit_history", "loan_outcomes")
+    run = engine.run(Recorded.fromkeys(names), rules.build_rules(RULES, as_of=date(2001, 1, 1)))
+    assert run.flagged("loan_applications").where("is_quarantined").count() > 0
+    assert set(asked) == {"customers", "loan_applications"}
+
+
+@pytest.mark.parametrize("name", ["engine_quarantine_flags"])
+def test_queries_of_few_rules_write_no_table(spark, written, name):
+    assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert not written
