@@ -72,7 +72,7 @@ def test_flags_of_a_table_ask_for_the_tables_of_its_rules_only(tables):
     assert set(asked) == {"customers", "loan_applications"}
 
 
-@pytest.mark.parametrize("name", ["engine_quarantine_flags"])
+@pytest.mark.parametrize("name", ["rule_expense_consistency", "rule_orphan_record", "engine_quarantine_flags"])
 def test_queries_of_few_rules_write_no_table(spark, written, name):
     assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert not written
