@@ -110,3 +110,21 @@ def test_key_needs_an_order(spark):
     df = spark.createDataFrame([("a",)], "k string")
     with pytest.raises(ValueError):
         constraints.load_constrained({"t": df}, [constraints.TableConstraints("t", key=["k"])])
+
+
+def test_error_keys_are_found_without_findings(spark):
+    """The keys are those of the findings, but no finding becomes a row for them."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", 10, 1.0), ("a", 30, 2.0), ("b", 30, -1.0), ("b", 30, -1.0), (None, 17, 1.0), ("c", None, None), ("d", 40, 5.0)]
+    tables = {"customers": spark.createDataFrame(rows, "customer_id string, age int, annual_income double")}
+    checked = [
+        rules.impossible_age(), rules.negative_financial("customers", ["annual_income", "monthly_income"]),
+        rules.missing_value("customers", "annual_income", 0.0, "WARNING"), rules.duplicate_record("customers", ["customer_id"]),
+    ]
+    run = engine.run(tables, checked)
+    found = run.violations.where((F.col("severity") == "ERROR") & (F.col("table") == "customers"))
+    keys = run.error_keys("customers")
+    assert {r[0] for r in keys.collect()} == {r.record_key for r in found.collect()} == {"a", "b", "nan"}
+    assert "Generate" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    assert engine.run(tables, []).error_keys("customers").isEmpty()
