@@ -74,3 +74,23 @@ def test_cycle_reduces_the_tables_once(spark, monkeypatch):
     out = cycle.run_cycle({"loan_outcomes": outcomes}, predictions, "m", None, date(1999, 1, 1), base, None, {}, [], date(2000, 6, 30))
     assert "drift" in out.tables and "quality" in out.tables
     assert len(calls) == 1
+
+
+def test_encoded_vectors_are_kept_while_a_model_is_fitted(spark, monkeypatch):
+    """Fitting reads them several times; they were encoded anew each time."""
+    import pytest
+
+    from riskframe.plans import model
+
+    class Fitted(Exception):
+        pass
+
+    def fit(train, *args, **kwargs):
+        assert train.storageLevel.useMemory and train.columns == ["default_12m", "features"]
+        train.unpersist()
+        raise Fitted
+
+    monkeypatch.setattr(model.training, "fit", fit)
+    rows = spark.createDataFrame([("1", 0, 0.5), ("2", 1, 0.1)], "loan_id string, default_12m int, features double")
+    with pytest.raises(Fitted):
+        model.train(SimpleNamespace(vectors=lambda part: rows))
