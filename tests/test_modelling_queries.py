@@ -94,3 +94,39 @@ def test_encoded_vectors_are_kept_while_a_model_is_fitted(spark, monkeypatch):
     rows = spark.createDataFrame([("1", 0, 0.5), ("2", 1, 0.1)], "loan_id string, default_12m int, features double")
     with pytest.raises(Fitted):
         model.train(SimpleNamespace(vectors=lambda part: rows))
+
+
+def test_prepare_writes_clean_loans_and_splits_large_methods(spark, monkeypatch):
+    """The join reads the clean loans twice; they were cleaned anew each time.  Stages
+    whose generated method the JVM would not compile ran interpreted."""
+    import pytest
+
+    from riskframe.operators.ordered import METHOD_LIMIT, compile_whole
+    from riskframe.plans import model
+
+    class Joined(Exception):
+        pass
+
+    def join(customers, loans, financial, credit):
+        assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (loans, financial, credit))
+        assert [r.loan_id for r in loans.orderBy("loan_id").collect()] == ["1", "2"]
+        raise Joined
+
+    loans = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", None)], "loan_id string, customer_id string").selectExpr("*", "date'2000-01-01' as application_date")
+    known = loans.select("customer_id").distinct()
+    done = {t: loans.join(known, "customer_id", "left_semi") for t in ("customers", "loan_applications", "financial_profiles", "credit_history", "loan_outcomes")}
+    monkeypatch.setattr(model.joins, "filter_tables", lambda tables, ids: tables)
+    monkeypatch.setattr(model.cleaning, "fit", lambda *a: None)
+    monkeypatch.setattr(model.cleaning, "apply", lambda *a: SimpleNamespace(tables=done))
+    monkeypatch.setattr(model.joins, "point_in_time_join", join)
+    old = spark.conf.get(METHOD_LIMIT)
+    try:
+        spark.conf.unset(METHOD_LIMIT)
+        with pytest.raises(Joined):
+            model.prepare({"loan_applications": loans}, {}, [])
+        assert spark.conf.get(METHOD_LIMIT) == "8000"
+        spark.conf.set(METHOD_LIMIT, "100")
+        compile_whole(spark)
+        assert spark.conf.get(METHOD_LIMIT) == "100"
+    finally:
+        spark.conf.set(METHOD_LIMIT, old)
