@@ -178,3 +178,22 @@ def test_registry(spark):
     assert [x.model_id for x in registry.active(quiet).collect()] == ["a"] and math.isclose(registry.model_card(quiet).first().chosen_threshold, 0.1)
     with pytest.raises(KeyError):
         registry.activate(r, "zzz")
+
+
+def test_top_factors_look_a_template_up_once(spark):
+    """The lookup was repeated for every part of the sentence that reads the template."""
+    from pyspark.sql import functions as F
+
+    templates = explain._templates({"age": {"median": 40.0}, "dti": {"median": 0.3}, "gender": {"mode": "MALE"}})
+    schema = "a array<struct<rank_key:double,place:int,feature:string,value:string,number:double,contribution:double>>"
+    factors = [(-3.0, 0, "age", "20", 20.0, 3.0), (-2.0, 1, "dti", None, None, 2.0), (-1.0, 2, "gender", "MALE", None, -1.0), (-0.5, 3, "dti", "0.5", 0.5, 0.5)]
+    df = spark.createDataFrame([(factors,), ([],), (None,)], schema)
+    for sign, want in ((1, ["age", "dti"]), (-1, ["gender"])):
+        out = df.select(explain.top_factors(F.col("a"), sign, 2, templates).alias("top"))
+        assert out._jdf.queryExecution().analyzed().toString().count("try_element_at(") == 1
+        rows = [r.top for r in out.collect()]
+        assert [f.feature for f in rows[0]] == want and rows[1:] == [[], None]
+        for f, (_, _, feature, value, number, contribution) in zip(rows[0], [x for x in factors if x[5] * sign > 0]):
+            one = spark.range(1).select(explain.reason_sentence(
+                F.lit(feature), F.lit(value).cast("string"), F.lit(number).cast("double"), F.lit(contribution), templates)).first()[0]
+            assert (f.value, f.contribution, f.reason) == (value, contribution, one)
