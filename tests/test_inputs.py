@@ -6,7 +6,7 @@ from registered import all_queries
 from registered import inputs as source
 from registered.inputs import DAILY, Inputs
 from riskframe.config import CLEANING, RULES
-from riskframe.operators import cleaning, engine, rules
+from riskframe.operators import cleaning, engine, ordered, rules
 
 ORDER = {"customers": ["row_no"], "loan_applications": ["row_no"]}
 
@@ -76,3 +76,23 @@ def test_flags_of_a_table_ask_for_the_tables_of_its_rules_only(tables):
 def test_queries_of_few_rules_write_no_table(spark, written, name):
     assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert not written
+
+
+@pytest.mark.parametrize("name", ["request_bounds", "scoring_input_bounds", "request_cross_fields"])
+def test_requests_by_slices_count_the_same(spark, tables, monkeypatch, name):
+    """All rows were joined in one step, whose shuffle files lay on disk at once."""
+    whole = sorted(map(tuple, all_queries()[name](spark, tables.folder).collect()))
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 2000)
+    monkeypatch.setattr(source, "_STORED", {})
+    assert tables.slices() == 3 and len(list(tables.credit_slices())) == 3
+    assert sorted(map(tuple, all_queries()[name](spark, tables.folder).collect())) == whole
+
+
+def test_daily_table_by_slices(spark, tables, monkeypatch):
+    whole = {n: tables[n] for n in DAILY}
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 2000)
+    for name, plain in whole.items():
+        stored = tables.stored(name)
+        assert stored.dtypes == plain.dtypes and stored.count() == plain.count() and stored.exceptAll(plain).isEmpty()
+    by_slice = [set(r[0] for r in part["financial_profiles"].select("customer_id").distinct().collect()) for part in tables.credit_slices()]
+    assert all(by_slice) and sum(map(len, by_slice)) == len(set().union(*by_slice))
