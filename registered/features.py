@@ -12,7 +12,7 @@ from registered.inputs import MERGED
 from riskframe.config import MERGED_COLUMNS, ORDINAL_ORDER
 from riskframe.operators import encode, features, joins, portfolio, split
 from riskframe.operators.constraints import CHECKS, NOT_NULL
-from riskframe.operators.ordered import materialize, shared_dir
+from riskframe.operators.ordered import join_slices, materialize, passing, shared_dir
 from riskframe.sources import intake as intake_tables
 
 _COLS = ", ".join(MERGED_COLUMNS)
@@ -161,11 +161,14 @@ def _valid() -> str:
 """)
 def intake_commit(t):
     """Two intakes, older applications first; a customer can apply once."""
-    a = materialize(merged(t).withColumn("credit_utilization", F.col("total_outstanding") / F.col("total_credit_limit")))
     root = f"{shared_dir(t.spark)}/intake-{uuid.uuid4().hex}"
     old = F.col("application_date") < F.lit("1998-01-01").cast("date")
-    for part in (a.where(old), a.where(~old)):
-        intake_tables.take_in(t.spark, root, part, ["application_date", "loan_id", "loan_amount", "age"])
+    with passing(t.spark):
+        names = ("customers", "loan_applications", "financial_profiles", "credit_history")
+        parts = [joins.point_in_time_join(*(part[n] for n in names)) for part in t.credit_slices()]
+        a = join_slices([p.withColumn("credit_utilization", F.col("total_outstanding") / F.col("total_credit_limit")) for p in parts], materialize)
+        for part in (a.where(old), a.where(~old)):
+            intake_tables.take_in(t.spark, root, part, ["application_date", "loan_id", "loan_amount", "age"])
     return _intake_rows(intake_tables.read_tables(t.spark, root))
 
 

@@ -78,7 +78,7 @@ def test_queries_of_few_rules_write_no_table(spark, written, name):
     assert not written
 
 
-@pytest.mark.parametrize("name", ["request_bounds", "scoring_input_bounds", "request_cross_fields"])
+@pytest.mark.parametrize("name", ["request_bounds", "scoring_input_bounds", "request_cross_fields", "intake_commit"])
 def test_requests_by_slices_count_the_same(spark, tables, monkeypatch, name):
     """All rows were joined in one step, whose shuffle files lay on disk at once."""
     whole = sorted(map(tuple, all_queries()[name](spark, tables.folder).collect()))
