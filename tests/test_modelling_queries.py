@@ -130,3 +130,31 @@ def test_prepare_writes_clean_loans_and_splits_large_methods(spark, monkeypatch)
         assert spark.conf.get(METHOD_LIMIT) == "100"
     finally:
         spark.conf.set(METHOD_LIMIT, old)
+
+
+def test_prepare_by_slices_gives_the_same_and_leaves_little(spark, monkeypatch, tmp_path):
+    """All steps' tables and shuffle files stayed on disk until the session ended."""
+    import os
+
+    from registered.inputs import Inputs
+    from registered.validation import AS_OF
+    from riskframe.config import RULES
+    from riskframe.operators import ordered, rules
+    from riskframe.plans import model
+
+    monkeypatch.setattr(ordered, "shared_dir", lambda spark: str(tmp_path))
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    tables = t.credit(customers="customers_loaded", loan_applications="loans_loaded")
+    tables = {n: tables[n] for n in tables}
+    old, left = set(os.listdir(tmp_path)), []
+    for rows in (ordered.SLICE_ROWS, 2000):
+        monkeypatch.setattr(ordered, "SLICE_ROWS", rows)
+        left.append(model.prepare(tables, modelling.ORDER, rules.build_rules(RULES, as_of=AS_OF)))
+    whole, sliced = left
+    assert whole.frame.columns == sliced.frame.columns and whole.frame.count() > 100
+    assert whole.frame.exceptAll(sliced.frame).isEmpty() and sliced.frame.exceptAll(whole.frame).isEmpty()
+    assert (whole.clean, whole.bands) == (sliced.clean, sliced.bands)
+    assert whole.splits.count() == sliced.splits.count() > 0
+    # Splits and features of each; the features of two slices are written one by one.
+    assert len(set(os.listdir(tmp_path)) - old) == 2 + 1 + 2
+    assert spark.conf.get(ordered.SHUFFLE_CLEANUP) == "false"
